@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,5 +66,28 @@ def default_parallelism(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One Parquet table of a data directory."""
+    """One Parquet table of a data directory; also the point where workers get this package."""
+    ship_package(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once per context.
+
+    The package is sent as a zip file, so that executors need no installation.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_codeloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="codeloom-package-")
+    archive = os.path.join(folder, "codeloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, folders, files in os.walk(root):
+            folders[:] = sorted(f for f in folders if f != "__pycache__")
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._codeloom_shipped = True
