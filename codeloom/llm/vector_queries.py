@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.forest import nearest_neighbours, similar_pairs
+from codeloom.llm.grouping import describe_groups, similarity_groups
 from codeloom.llm.vectors import latest_usable
 from codeloom.session import table
 
@@ -30,6 +31,18 @@ def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_search)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols in a group of two or more, with the group's smallest symbol_id."""
+    groups, _, _ = similarity_groups(latest_usable(table(spark, sf_dir, "symbol_embeddings")), MIN_COSINE)
+    return groups
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups with size, medoid and the qualified names of their most typical members."""
+    _, classes, degrees = similarity_groups(latest_usable(table(spark, sf_dir, "symbol_embeddings")), MIN_COSINE)
+    return describe_groups(classes, degrees, table(spark, sf_dir, "symbols"), MIN_COSINE)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_search, p5_found, p5_clusters)}
 
 SQL: dict[str, str] = {}
