@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.mixture import mix_sources, mixture_report
+from codeloom.llm.residue import residue
 from codeloom.llm.tokens import count_tokens, encode_texts
 from codeloom.session import table
 
@@ -29,6 +30,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(*_mixed(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with template residue, filler, error messages or script notices."""
+    return residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the kinds of residue they hold."""
+    return residue(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_mixture, p9_shares, p10_found, p10_kinds)}
 
 SQL: dict[str, str] = {}
