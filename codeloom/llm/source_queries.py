@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.llm.docpairs import documented_symbols
 from codeloom.llm.syntax import invalid_rates, unparsable
 from codeloom.session import table
 
@@ -19,6 +20,16 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_rates(sources, table(spark, sf_dir, "files"), unparsable(sources))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed functions with real documentation."""
+    return documented_symbols(table(spark, sf_dir, "source_file"), table(spark, sf_dir, "symbols")).select("file_id", "qualified_name").distinct()
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documentation and code of indexed functions."""
+    return documented_symbols(table(spark, sf_dir, "source_file"), table(spark, sf_dir, "symbols"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_pairs)}
 
 SQL: dict[str, str] = {}
