@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.docpairs import documented_symbols
+from codeloom.llm.foreign import foreign_files
 from codeloom.llm.syntax import invalid_rates, unparsable
 from codeloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a tool produced, that were squeezed, copied from others, or hold data."""
+    return foreign_files(table(spark, sf_dir, "source_file")).select("file_id").distinct()
+
+
+def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Such files with their kind."""
+    return foreign_files(table(spark, sf_dir, "source_file"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose content is not valid in the language of their extension."""
     return unparsable(table(spark, sf_dir, "source_file"))
@@ -30,6 +41,6 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_symbols(table(spark, sf_dir, "source_file"), table(spark, sf_dir, "symbols"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_pairs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p3_rates, p4_found, p4_pairs)}
 
 SQL: dict[str, str] = {}
