@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import integrity
+from codeloom.plans import integrity, relational
 
-MODULES = (integrity,)
+MODULES = (integrity, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
