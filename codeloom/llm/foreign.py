@@ -84,6 +84,23 @@ def _is_minified(body: str, name: str) -> bool:
     return blank < 0.12 and average >= (80 if named else 150) and longest >= 250 and len(names) > 40 and short >= (0.3 if named else 0.45)
 
 
+_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\b\d[\w.]*")
+_PUNCTUATION = re.compile(r"[\s,:+()\[\]{};\-]+")
+
+
+def _may_be_data(body: str) -> bool:
+    """Whether literals could make up most of the code; cheap, and never false where the exact share is high."""
+    rest = _LITERAL.sub("", body)
+    literal = len(body) - len(rest)
+    return literal >= 300 and literal >= 0.6 * (literal + len(_PUNCTUATION.sub("", rest)))
+
+
+def _may_be_uniform(body: str) -> bool:
+    """Whether few line shapes make up the code, as they do where functions repeat; spares most files the lexer."""
+    shapes = [x for x in (_WORDS.sub("w", line.strip()) for line in body.split("\n")) if "w" in x]
+    return len(shapes) >= 3 and len(set(shapes)) <= 0.36 * len(shapes) + 1
+
+
 def _literal_share(text: str, lang: str, markup: bool) -> tuple[int, float]:
     """Characters in literals and the share they and their separators have of the code."""
     literal = other = 0
@@ -131,10 +148,11 @@ def judge(path: str, text: str | None) -> str | None:
     lang = language(path)
     if lang:
         markup = lang == "js" or path.rstrip().lower().endswith("x")
-        literal, share = _literal_share(body, lang, markup)
-        if literal >= 300 and share >= 0.85:
-            return "data"
-        if _is_uniform(body, lang, markup):
+        if _may_be_data(body):
+            literal, share = _literal_share(body, lang, markup)
+            if literal >= 300 and share >= 0.85:
+                return "data"
+        if _may_be_uniform(body) and _is_uniform(body, lang, markup):
             return "generated"
     return None
 
