@@ -26,6 +26,7 @@ class Function:
     start: int
     end: int
     params: tuple[str, ...]
+    qualified: str = ""
 
 
 class _Lines:
