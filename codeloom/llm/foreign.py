@@ -76,12 +76,13 @@ def _is_minified(body: str, name: str) -> bool:
     lines = [line for line in body.split("\n") if line.strip()]
     if not lines or len(body) < 400:
         return False
-    average, longest = len(body) / len(lines), max(map(len, lines))
+    named = re.search(r"[.-]min\.\w+$|\.bundle\.\w+$", name, re.I) is not None
+    if len(body) / len(lines) < (80 if named else 150) or max(map(len, lines)) < 250:
+        return False
     blank = sum(body.count(c) for c in " \t\n\r") / len(body)
-    names = _NAMES.findall(body[:20_000])
+    names = _NAMES.findall(body)
     short = sum(len(n) <= 3 for n in names) / max(1, len(names))
-    named = re.search(r"[.-]min\.\w+$|\.bundle\.\w+$", name, re.I) is not None
-    return blank < 0.12 and average >= (80 if named else 150) and longest >= 250 and len(names) > 40 and short >= (0.3 if named else 0.45)
+    return blank < 0.12 and len(names) > 40 and short >= (0.3 if named else 0.45)
 
 
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\b\d[\w.]*")
@@ -97,7 +98,7 @@ def _may_be_data(body: str) -> bool:
 
 def _may_be_uniform(body: str) -> bool:
     """Whether few line shapes make up the code, as they do where functions repeat; spares most files the lexer."""
-    shapes = [x for x in (_WORDS.sub("w", line.strip()) for line in body.split("\n")) if "w" in x]
+    shapes = [x for x in map(str.strip, _WORDS.sub("w", body).split("\n")) if "w" in x]
     return len(shapes) >= 3 and len(set(shapes)) <= 0.36 * len(shapes) + 1
 
 
