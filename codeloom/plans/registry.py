@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import integrity, relational
+from codeloom.plans import code, integrity, relational
 
-MODULES = (integrity, relational)
+MODULES = (integrity, relational, code)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

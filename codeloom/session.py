@@ -65,6 +65,16 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    For work per row that is dear and an input of few splits; an input with more
+    splits than cores is left as it is, so at scale nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One Parquet table of a data directory; also the point where workers get this package."""
     ship_package(spark)
