@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.functions import find_functions
 from codeloom.functions.lexer import language
+from codeloom.session import spread
 
 #: Words of prose that make a comment documentation.
 MIN_WORDS = 4
@@ -125,7 +126,7 @@ def documented_functions(sources: DataFrame) -> DataFrame:
     """
     own = sources.select("file_id", F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content"))
     key = own.schema["file_id"].dataType.simpleString()
-    return own.mapInArrow(_pairs, f"file_id {key}, name string, receiver string, line int, signature string, doc string, code string, words int")
+    return spread(own).mapInArrow(_pairs, f"file_id {key}, name string, receiver string, line int, signature string, doc string, code string, words int")
 
 
 def _receiver(qualified: str):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.functions import find_functions
 from codeloom.functions.lexer import COMMENT, NEWLINE, language, lex
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, spread
 
 #: Characters of code (without white space and leading comments) from which on an equal copy says something.
 MIN_SHARED_CHARS = 200
@@ -229,7 +229,7 @@ def foreign_files(sources: DataFrame) -> DataFrame:
     """
     own = sources.select("file_id", F.col("repo").cast("string").alias("repo"), F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content"))
     key = own.schema["file_id"].dataType.simpleString()
-    judged = cut_lineage(own.mapInArrow(_judged, f"file_id {key}, repo string, path string, kind string, hash long, chars long"))
+    judged = cut_lineage(spread(own).mapInArrow(_judged, f"file_id {key}, repo string, path string, kind string, hash long, chars long"))
     shared = shared_subtrees(judged.select("repo", "path", "hash", "chars")).withColumn("shared", F.lit(True))
     rest = judged.where("kind is null").withColumn("r", F.coalesce("repo", F.lit(""))).join(shared.withColumnRenamed("repo", "r"), ["r", "path"], "left_semi")
     return judged.where("kind is not null").select("file_id", "kind").unionByName(rest.select("file_id", F.lit("vendored").alias("kind")))

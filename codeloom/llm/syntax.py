@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.lexer import COMMENT, LANGUAGES, NEWLINE, Token, language, lex
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, spread
 
 _EXPR = {
     "go": "nds([u!FMSw",
@@ -344,7 +344,7 @@ def unparsable(sources: DataFrame) -> DataFrame:
     """
     own = sources.select("file_id", F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content"))
     key = own.schema["file_id"].dataType.simpleString()
-    lexed = cut_lineage(own.mapInArrow(_lexed, f"file_id {key}, lang string, shapes array<string>, nets string"))
+    lexed = cut_lineage(spread(own).mapInArrow(_lexed, f"file_id {key}, lang string, shapes array<string>, nets string"))
     listed = lexed.select("file_id", "lang", F.explode("shapes").alias("shape"))
     by_shape = listed.join(_bad_shapes(lexed), ["lang", "shape"], "left_semi").select("file_id", "lang")
     by_nesting = lexed.select("file_id", "lang").join(_unbalanced(lexed), "file_id", "left_semi")

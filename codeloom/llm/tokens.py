@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 #: Folder of the vocabulary files; pass another where they lie elsewhere.
 VOCABULARY_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -170,5 +172,5 @@ def _apply(df: DataFrame, text: str, out: str, path: str, counts: bool) -> DataF
     work = df.select(*[F.col(f"`{c}`").alias(r) for c, r in zip(kept, renamed, strict=True)], F.col(f"`{text}`").cast("string").alias("__text"))
     fields = [f"{r} {work.schema[r].dataType.simpleString()}" for r in renamed]
     schema = ", ".join([*fields, "__out " + ("bigint" if counts else "array<int>")])
-    done = work.mapInArrow(_encode(path, counts), schema)
+    done = spread(work).mapInArrow(_encode(path, counts), schema)
     return done.select(*[F.col(r).alias(c) for c, r in zip(kept, renamed, strict=True)], F.col("__out").alias(out))
