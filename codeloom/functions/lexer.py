@@ -44,7 +44,7 @@ def _words(**groups: str) -> dict[str, str]:
 
 KEYWORDS = {
     "go": _words(P="package", I="import", F="func", T="type", V="var const", S="struct interface", M="map chan", R="return", B="break continue fallthrough goto", C="if for switch select", E="else", K="case", D="default", G="go defer", g="range"),
-    "java": _words(P="package", I="import", m="public private protected static final abstract native transient volatile strictfp", K="class interface enum", x="extends implements throws", t="int long short byte char boolean float double void", C="if for while switch synchronized catch", W="else do try finally", R="return throw assert", B="break continue", k="case", D="default", N="new", o="instanceof", v="this super true false null"),
+    "java": _words(P="package", I="import", m="public private protected static final abstract native synchronized transient volatile strictfp", K="class interface enum", x="extends implements throws", t="int long short byte char boolean float double void", C="if for while switch catch", W="else do try finally", R="return throw assert yield", B="break continue", k="case", D="default", N="new", o="instanceof", v="this super true false null"),
     "js": _words(I="import", Z="export", f="function", K="class", V="var let const", C="if for while switch with catch", W="else do try finally", R="return throw", r="new typeof void delete await yield", B="break continue debugger", k="case", D="default", o="in instanceof", v="this super true false null", x="extends", y="async of from as get set static type interface enum implements abstract declare readonly namespace module keyof infer is satisfies public private protected override asserts unique accessor"),
     "python": _words(f="def", K="class", l="lambda", C="if elif while for with except", W="else try finally", I="import", F="from", R="return raise del assert global nonlocal", B="pass break continue", a="as", o="in is and or", t="not", v="None True False", w="await yield", y="async"),
 }

@@ -26,34 +26,6 @@ def identifier_tokens(column: Column | str) -> Column:
     return tokens(F.regexp_replace(F.coalesce(column, F.lit("")), r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|_", " "))
 
 
-def _measure(word: str) -> int:
-    forms = "".join("v" if c in "aeiou" or c == "y" and i and word[i - 1] not in "aeiou" else "c" for i, c in enumerate(word))
-    return forms.replace("cc", "c").count("vc") if forms else 0
-
-
-def stem(word: str) -> str:
-    """Light suffix stripping: plural, past and gerund forms of English words share a stem."""
-    if len(word) <= 3 or not word.isascii():
-        return word
-    for end, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(end):
-            word = word[: len(word) - len(end)] + put
-            break
-    for end in ("eed", "ing", "ed"):
-        if word.endswith(end):
-            base = word[: -len(end)]
-            if end == "eed":
-                word = base + "ee" if _measure(base) else word
-            elif any(c in "aeiouy" for c in base) and len(base) > 2:
-                word = base
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif len(word) > 3 and word[-1] == word[-2] and word[-1] not in "lsz":
-                    word = word[:-1]
-            break
-    return word[:-1] + "i" if word.endswith("y") and len(word) > 3 and word[-2] not in "aeiou" else word
-
-
 def match_all(df: DataFrame, column: str, terms: Sequence[str]) -> DataFrame:
     """Rows whose text holds every term as a token; no terms match nothing."""
     wanted = sorted({t.lower() for t in terms})

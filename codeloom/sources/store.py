@@ -22,7 +22,7 @@ def append_table(df: DataFrame, root: str, name: str, by: str = "repo") -> None:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """A table, or None if it was never written."""
+    """A table, or None if it was never written or holds no rows."""
     if not os.path.isdir(f"{root}/{name}") or not any(f.startswith("repo=") or f.endswith(".parquet") for f in os.listdir(f"{root}/{name}")):
         return None
     return spark.read.parquet(f"{root}/{name}")

@@ -30,7 +30,7 @@ def scan_tree(spark: SparkSession, root: str, repo: str, extensions: Sequence[st
     return (
         files.select(relative.alias("path"), "content")
         .where(wanted)
-        .select(F.lit(repo).alias("repo"), "path", F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("hash"))
+        .select(F.lit(repo).alias("repo"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("hash"))
     )
 
 

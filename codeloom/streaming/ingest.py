@@ -19,7 +19,7 @@ def file_stream(spark: SparkSession, root: str, files_per_batch: int = 1_000) ->
     skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED)
     stream = spark.readStream.format("binaryFile").schema(_FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
     wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*LANGUAGES) & ~F.col("path").rlike(rf"(^|/)({skipped})/")
-    return stream.where(wanted).select("path", F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("modified"))
+    return stream.where(wanted).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("modified"))
 
 
 def stream_into_index(stream: DataFrame, repo: str, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
