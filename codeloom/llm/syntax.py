@@ -43,17 +43,17 @@ _FOLLOW = {
     "go": {
         "^": "P", "P": "n", "I": "sn(.", "F": "n(", "T": "n()", "V": "n(", "S": "{", "M": "[nuw(SMF", "R": "1;}", "B": "n;}", "C": "1;{g", "E": "{C", "K": "1MS", "D": ":", "G": "1", "g": "1",
         "n": ".,;:=()[]{}bui<>eSMFnsw", "d": ",;:)]}{bu<>i", "s": ",;:)]}{bu<>.[", "(": "1)eMST", ")": ".,;()[]{}bu<>=inSMFews:", "[": "1]e:MS", "]": "nu[(.,;:=)]}{b<>iSMFsw", "{": "12}",
-        "}": ";,)].([{E:bu", ",": "1)]}eSMF{", ";": "12)$}", ":": "12;]}SM", ".": "n(", "=": "1MSgFw", "b": "1", "u": "1nSMF[(", "!": "1", "i": ";{)", "<": "1", ">": "1", "e": "nu[(SMF),]", "w": "1MSn",
+        "}": ";,)].([{E:bu}e", ",": "1)]}eSMF{", ";": "12)$}.", ":": "12;]}SM", ".": "n(s", "=": "1MSgFw", "b": "1", "u": "1nSMF[(", "!": "1", "i": ";{)", "<": "1", ">": "1", "e": "nu[(SMF),]", "w": "1MSn",
     },
     "java": {
-        "^": "PIKm@;nWv$", "P": "n", "I": "nm", "m": "mtKn@<{(", "K": "n", "x": "nv@", "t": "n[.)>,eAt", "C": "(", "W": "{(21", "R": "1;", "B": "n;", "k": "1tn", "D": ":AtmnK<",
-        "N": "nt@<", "o": "ntm(@", "v": ".)],;(bu<>o?:=[}A1", "n": "n()[]{}<>.,;=:?bu!ioAe@xv", "d": ",;)]}bu<>?:oiA", "s": ".,;)]}bu<>?:oA",
-        "(": "1tm);n@v", ")": ".,;()[]{}bu<>?:oAndsvxN!=itm@CWRB21K", "[": "1]", "]": ".,;)]}{[=bu<>?:inoe(A@", "{": "12}m", "}": "12).,;]$:uboA?([", ";": "12})$m",
-        ",": "1ntm@};", ".": "nNvuK<t", "=": "1{tC", "?": "1x>,", ":": "12tm}k;", "b": "1", "u": "1;n>,(", "<": "1nt?>@", ">": "1n(){},.[;etmx=?K>:@", "!": "1", "i": "1;),]bu}:?.",
+        "^": "PIKm@;nWv$", "P": "n", "I": "nm", "m": "mtKn@<{(", "K": "n", "x": "nv@", "t": "n[.)>,eAt", "C": "(", "W": "{(21", "R": "1;", "B": "n;", "k": "1tn", "D": ":AtmnK<1{",
+        "N": "nt@<;,)", "o": "ntm(@", "v": ".)],;(bu<>o?:=[}A1", "n": "n()[]{}<>.,;=:?bu!ioAe@xv", "d": ",;)]}bu<>?:oiA", "s": ".,;)]}bu<>?:oA",
+        "(": "1tm);n@v{", ")": ".,;()[]{}bu<>?:oAndsvxN!=itm@CWRB21K", "[": "1]", "]": ".,;)]}{[=bu<>?:inoe(A@", "{": "12}m", "}": "12).,;]$:uboA?([", ";": "12})$m",
+        ",": "1ntm@};?", ".": "nNvuK<tR", "=": "1{tC", "?": "1x>,", ":": "12tm}k;", "b": "1", "u": "1;n>,(", "<": "1nt?>@", ">": "1n(){},.[;etmx=?K>:@", "!": "1", "i": "1;),]bu}:?.",
         "A": "1{2Rt", "@": "1Kmt@n();,{})", "e": "n),",
     },
     "js": {
-        "^": "12$", "I": "{nysu(.*", "Z": "VfKDny{u@I=", "f": "ny(u", "K": "ny{x", "V": "ny[{", "C": "(r{y", "W": "{C12", "R": "1;}", "r": "1;.)],}:KfN(", "B": "ny;}", "k": "1", "D": ":1fKny;,}",
+        "^": "12$", "I": "{nysu(.*", "Z": "VfKDny{u@I=", "f": "ny(u", "K": "ny{x", "V": "ny[{", "C": "(r{y", "W": "{C12", "R": "1;}N", "r": "1;.)],}:KfN(>", "B": "ny;}", "k": "1", "D": ":1fKny;,}",
         "o": "1", "v": ".,;:)]}buo?=[(y<>A!Ns", "x": "1", "n": ".,;:=()[]{}buio?<>Axy!$so", "y": ".,;:=()[]{}buio?<>Axy!$s1nfKVZI@rv#", "d": ".,;:)]}buo?<>yx$", "s": ".,;:)]}buo?<>y[($s=!{",
         "(": "1)VeN,@y", ")": ".,;:()[]{}buio?<>A=nydsvRBCWVrfK!I$Nx@", "[": "1]e,", "]": ".,;:=()[]{}buio?<>Ay!s$@n", "{": "12e}b@", "}": "N12.,;)](:[buo?A=$<>!s", ",": "1)]}e,>b",
         ";": "12)$,", ":": "12bKDx", ".": "ny([s", "=": "1bf", "b": "1b;", "u": "1,)ny{>;(]", "?": "1.:),=;]>}b", "<": "1>b", ">": "1(){},;.[]=>A?:byo$!xin", "!": "1.;),]b=:[(?}o", "i": "1;),]}bu:?$",
@@ -101,7 +101,7 @@ _FORBIDDEN = {
         r"nnn",
     ),
     "java": (
-        r"^t[;}^][^PImK@;}$/x]",
+        r"^t[;}^](?:[^PImK@;}$/xn]|n(?!n[(<]|K|un))",
         r"^[bs].P|^[bs].I",
         r"^b[;{}]n[;,]",
         r"nnn",
