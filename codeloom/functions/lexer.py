@@ -55,14 +55,14 @@ _NAME = r"[^\W\d]\w*"
 
 _GO = re.compile(
     rf"""[ \t\r\f]*(?:(?P<nl>\n)|(?P<com>//[^\n]*|/\*(?s:.*?)\*/)|(?P<s>"(?:[^"\\\n]|\\.)*"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]+?)+')
-    |(?P<n>{_NAME})|(?P<d>(?:{_NUMBER})i?(?!\w))|(?P<br>[(){{}}\[\],;])|(?P<op><-|:=|\+\+|--|\.\.\.|<<=|>>=|&\^=|<<|>>|&\^|&&|\|\||[=!<>+\-*/%&|^]=|[.:=<>+\-*&!/%|^~]))""",
+    |(?P<n>{_NAME})|(?P<d>(?:{_NUMBER})i?(?!\w))|(?P<br>[(){{}}\[\],;])|(?P<op><-|:=|\+\+|--|\.\.\.|<<=|>>=|&\^=|<<|>>|&\^|&&|\|\||[=!<>+\-*/%&|^]=|[.:=<>+\-*&!/%|^~])|(?P<bad>(?s:.)))""",
     re.X,
 )
 _GO_OPS = {"<-": "w", ":=": "=", "=": "=", "++": "i", "--": "i", "...": "e", ".": ".", ":": ":", "<": "<", ">": ">", "+": "u", "-": "u", "*": "u", "&": "u", "^": "u", "!": "!", "~": "!"}
 
 _JAVA = re.compile(
     rf"""[ \t\r\f]*(?:(?P<nl>\n)|(?P<com>//[^\n]*|/\*(?s:.*?)\*/)|(?P<s>\"\"\"(?s:(?:[^\\]|\\.)*?)\"\"\"|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\[^\n])+')
-    |(?P<n>[^\W\d$][\w$]*|\$[\w$]*)|(?P<d>(?:{_NUMBER})[lLfFdD]?(?!\w))|(?P<br>[(){{}}\[\],;])|(?P<op>->|::|\+\+|--|\.\.\.|>>>=|<<=|>>=|<<|&&|\|\||[=!<>+\-*/%&|^]=|[.:=<>+\-*&!/%|^~?@]))""",
+    |(?P<n>[^\W\d$][\w$]*|\$[\w$]*)|(?P<d>(?:{_NUMBER})[lLfFdD]?(?!\w))|(?P<br>[(){{}}\[\],;])|(?P<op>->|::|\+\+|--|\.\.\.|>>>=|<<=|>>=|<<|&&|\|\||[=!<>+\-*/%&|^]=|[.:=<>+\-*&!/%|^~?@])|(?P<bad>(?s:.)))""",
     re.X,
 )
 _JAVA_OPS = {"->": "A", "::": ".", "=": "=", "++": "i", "--": "i", "...": "e", ".": ".", ":": ":", "<": "<", ">": ">", "+": "u", "-": "u", "*": "u", "&": "u", "!": "!", "~": "!", "?": "?", "@": "@"}
@@ -70,7 +70,7 @@ _JAVA_OPS = {"->": "A", "::": ".", "=": "=", "++": "i", "--": "i", "...": "e", "
 _PY = re.compile(
     rf"""(?:[ \t\r\f]|\\\r?\n)*(?:(?P<nl>\n)|(?P<com>\#[^\n]*)
     |(?P<s>(?i:[rbuft]{{0,2}})(?:\"\"\"(?s:(?:[^\\]|\\.)*?)\"\"\"|'''(?s:(?:[^\\]|\\.)*?)'''|"(?!\"\")(?:[^"\\\n]|\\(?s:.))*"|'(?!'')(?:[^'\\\n]|\\(?s:.))*'))
-    |(?P<n>{_NAME})|(?P<d>(?:{_NUMBER})[jJ]?(?!\w))|(?P<br>[(){{}}\[\],;])|(?P<op>->|:=|\.\.\.|\*\*=|//=|<<=|>>=|\*\*|//|<<|>>|[=!<>+\-*/%&|^@]=|[.:=<>+\-*&/%|^~@]))""",
+    |(?P<n>{_NAME})|(?P<d>(?:{_NUMBER})[jJ]?(?!\w))|(?P<br>[(){{}}\[\],;])|(?P<op>->|:=|\.\.\.|\*\*=|//=|<<=|>>=|\*\*|//|<<|>>|[=!<>+\-*/%&|^@]=|[.:=<>+\-*&/%|^~@])|(?P<bad>(?s:.)))""",
     re.X,
 )
 _PY_OPS = {"->": "A", ":=": "=", "=": "=", "...": "e", ".": ".", ":": ":", "<": "<", ">": ">", "+": "u", "-": "u", "*": "u", "**": "u", "~": "!", "@": "@"}
@@ -98,9 +98,10 @@ def _scan(text: str, pattern: re.Pattern, ops: dict[str, str], words: dict[str,
     while at < size:
         stop = at
         for m in pattern.finditer(text, at):
-            if m.start() != stop:
-                break
             kind = m.lastgroup
+            if kind == "bad":
+                stop = m.start("bad")
+                break
             start, stop = m.span(kind)
             if kind == "n":
                 add((word_kind(text[start:stop], "n"), start, stop))

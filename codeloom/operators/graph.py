@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.session import cut_lineage
@@ -87,62 +86,47 @@ def modularity(pairs: DataFrame, member: DataFrame) -> DataFrame:
     return sums.select(F.round((F.coalesce("iw", F.lit(0.0)) - F.coalesce("id", F.lit(0.0)) / (2 * m)) / m, 6).alias("modularity"))
 
 
-def communities(edges: DataFrame, group: str, src: str, dst: str, sweeps: int = 100) -> DataFrame:
-    """``(group, node, community)`` by moving single nodes between neighbouring communities while modularity grows.
+def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int = 10) -> DataFrame:
+    """``(group, node, community)``: nodes move to the neighbouring community that raises modularity most.
 
-    One graph per ``group`` value (a repository's calls) is small enough for a
-    task; groups run in parallel.  Nodes are visited in the order of first
-    appearance by name, ties go to the smallest community number, so the result
-    is the same on every run.  For one graph beyond a task's memory use
-    :func:`label_propagation`.
+    Local moving in rounds of joins and aggregates, so that a graph of any size
+    (a repository with a third of all calls) is spread over all tasks.  In each
+    round one half of the nodes, drawn by hash, may move, which keeps neighbours
+    from swapping places.  Parallel edges add up and a loop counts twice in the
+    degree.  Ties go to the smallest community; communities are numbered by their
+    smallest node, so the result is the same on every run.  It ends when two
+    rounds in a row move nothing, or after ``rounds``.
     """
-    pairs = (
-        edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-        .groupBy(group, F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v"))
-        .agg(F.count(F.lit(1)).cast("double").alias("w"))
-    )
-    kind = pairs.schema[group].dataType.simpleString()
-    return pairs.groupBy(group).applyInPandas(lambda part: _local_moving(part, group, sweeps), f"{group} {kind}, node string, community int")
-
-
-def _local_moving(part: pd.DataFrame, group: str, sweeps: int) -> pd.DataFrame:
-    nodes = sorted(set(part["u"]) | set(part["v"]))
-    at = {n: i for i, n in enumerate(nodes)}
-    near: list[dict[int, float]] = [{} for _ in nodes]
-    degree = [0.0] * len(nodes)
-    total = 0.0
-    for u, v, w in zip(part["u"], part["v"], part["w"], strict=True):
-        i, j = at[u], at[v]
-        total += w
-        degree[i] += w
-        degree[j] += w
-        if i != j:
-            near[i][j] = near[i].get(j, 0.0) + w
-            near[j][i] = near[j].get(i, 0.0) + w
-    label = list(range(len(nodes)))
-    weight = degree.copy()
-    for _ in range(sweeps):
-        moved = False
-        for i in range(len(nodes)):
-            own = label[i]
-            to: dict[int, float] = {}
-            for j, w in near[i].items():
-                to[label[j]] = to.get(label[j], 0.0) + w
-            gain = lambda c: to.get(c, 0.0) / total - (weight[c] - (degree[i] if c == own else 0.0)) * degree[i] / (2 * total * total)  # noqa: B023, E731
-            here = gain(own)
-            best, most = own, 1e-10
-            for c in sorted(to):
-                if c != own and gain(c) - here > most + 1e-12:
-                    best, most = c, gain(c) - here
-            if best != own:
-                weight[own] -= degree[i]
-                weight[best] += degree[i]
-                label[i] = best
-                moved = True
-        if not moved:
+    g = F.col(group).alias("g")
+    ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    pairs = cut_lineage(ends.select(g, F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).groupBy("g", "u", "v").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    both = cut_lineage(pairs.where("u <> v").unionByName(pairs.where("u <> v").select("g", F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    total = pairs.groupBy("g").agg(F.sum("w").alias("m"))
+    degree = pairs.select("g", F.explode(F.array(F.struct(F.col("u").alias("n"), "w"), F.struct(F.col("v").alias("n"), "w"))).alias("e")).groupBy("g", F.col("e.n").alias("u")).agg(F.sum("e.w").alias("k"))
+    nodes = cut_lineage(degree.join(total, "g"))
+    label = cut_lineage(nodes.select("g", "u", F.col("u").alias("c")))
+    still = 0
+    for turn in range(rounds):
+        weight = nodes.join(label, ["g", "u"]).groupBy("g", "c").agg(F.sum("k").alias("total"))
+        inner = both.join(label.select("g", F.col("u").alias("v"), "c"), ["g", "v"]).groupBy("g", "u", "c").agg(F.sum("w").alias("inner"))
+        choice = inner.unionByName(label.select("g", "u", "c", F.lit(0.0).alias("inner"))).groupBy("g", "u", "c").agg(F.sum("inner").alias("inner"))
+        own = label.select("g", "u", F.col("c").alias("own"))
+        rated = choice.join(nodes, ["g", "u"]).join(own, ["g", "u"]).join(weight, ["g", "c"])
+        at_home = F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("inner") / F.col("m") - (F.col("total") - at_home) * F.col("k") / (2 * F.col("m") * F.col("m")), 12)
+        best = rated.withColumn("gain", gain).groupBy("g", "u", "own").agg(
+            F.min_by("c", F.struct((-F.col("gain")).alias("a"), (F.col("c") != F.col("own")).alias("b"), F.col("c").alias("d"))).alias("best")
+        )
+        may = F.pmod(F.xxhash64("g", "u"), F.lit(2)) == turn % 2
+        after = cut_lineage(best.select("g", "u", F.when(may, F.col("best")).otherwise(F.col("own")).alias("c"), (may & (F.col("best") != F.col("own"))).alias("moved")))
+        moved = after.where("moved").limit(1).count()
+        label = after.drop("moved")
+        still = 0 if moved else still + 1
+        if still == 2:
             break
-    compact = {c: k for k, c in enumerate(dict.fromkeys(label))}
-    return pd.DataFrame({group: part[group].iloc[0], "node": nodes, "community": [compact[c] for c in label]})
+    first = label.groupBy("g", "c").agg(F.min("u").alias("least"))
+    number = first.withColumn("community", F.dense_rank().over(Window.partitionBy("g").orderBy("least")) - 1)
+    return label.join(number, ["g", "c"]).select(F.col("g").alias(group), F.col("u").alias("node"), "community")
 
 
 def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
