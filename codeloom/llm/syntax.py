@@ -12,6 +12,7 @@ each file.  For Python, candidates are confirmed by the standard parser.
 from __future__ import annotations
 
 import ast
+import functools
 import re
 import warnings
 from collections.abc import Iterator
@@ -119,6 +120,7 @@ _RUN = re.compile(r"((?:u?[dns]|n:u?[dsn]),)(?:(?:u?[dns]|n:u?[dsn]),){2,}")
 _NET = re.compile(r"\(\)|\[\]|\{\}")
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _net(shape: str) -> str:
     """Brackets of a line that it does not itself pair."""
     left = "".join(c for c in shape if c in "()[]{}")
@@ -130,6 +132,12 @@ def _net(shape: str) -> str:
     return left
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _shortened(line: str) -> str:
+    """A shape with long runs of literals cut to one."""
+    return _RUN.sub(r"\1", line) if len(line) > 12 else line
+
+
 def statement_lines(text: str | None, lang: str, markup: bool = False) -> list[str]:
     """Shapes of a file's statement lines in order: block letter, token before, token classes."""
     tokens = lex(text, lang, markup)
@@ -209,7 +217,7 @@ def _brace_lines(text: str, tokens: list[Token], lang: str) -> list[str]:
         if kind in ";{":
             close_row()
     close_row()
-    return [_RUN.sub(r"\1", line) if len(line) > 12 else line for line in lines]
+    return list(map(_shortened, lines))
 
 
 def _go_block(row: list[str]) -> bool:
@@ -263,7 +271,7 @@ def _python_lines(text: str, tokens: list[Token]) -> list[str]:
     end_row()
     if before == "J":
         lines.append("bJX")
-    return [_RUN.sub(r"\1", line) if len(line) > 12 else line for line in lines]
+    return list(map(_shortened, lines))
 
 
 def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +333,7 @@ def _bad_shapes(lexed: DataFrame) -> DataFrame:
     shapes = lexed.select("lang", F.explode("shapes").alias("shape")).distinct()
     table = [(lang, pair) for lang in _FOLLOW for pair in sorted(permitted_pairs(lang))]
     permitted = spark.createDataFrame(table, "lang string, pair string")
-    tokens = F.substring("shape", 2, 1 << 20)
+    tokens = F.col("shape").substr(F.lit(2), F.length("shape"))
     pairs = shapes.select("lang", "shape", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(tokens) - 1), lambda i: tokens.substr(i, F.lit(2))))).alias("pair"))
     unknown = pairs.join(F.broadcast(permitted), ["lang", "pair"], "left_anti").select("lang", "shape")  # a fixed table of a few thousand rows
     form = F.lit(False)
