@@ -333,11 +333,11 @@ def running_scope_depth(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", depth.alias("depth")).groupBy("user_id").agg(F.max("depth").alias("deepest"), F.min("depth").alias("lowest"))
 
 
-@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1")
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 2) AS sum_value FROM events GROUP BY 1")
 def json_payload(spark: SparkSession, d: str) -> DataFrame:
     """Counts by a field of a JSON payload."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
+    return table(spark, d, "events").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("sum_value"))
 
 
 @query(
