@@ -60,11 +60,14 @@ class _Lines:
         return "\n".join(reversed(pieces)), first
 
 
-def find_functions(text: str | None, lang: str, markup: bool = False) -> list[Function]:
-    """Functions of a file in order.  Texts that do not parse give what can be told apart."""
+def find_functions(text: str | None, lang: str, markup: bool = False, tokens: list[Token] | None = None) -> list[Function]:
+    """Functions of a file in order.  Texts that do not parse give what can be told apart.
+
+    ``tokens`` spares the lexer where the caller has them.
+    """
     if not text:
         return []
-    tokens = lex(text, lang, markup)
+    tokens = lex(text, lang, markup) if tokens is None else tokens
     code = [t for t in tokens if t[0] not in (COMMENT, NEWLINE)]
     if lang == "python":
         return _python(text, tokens)

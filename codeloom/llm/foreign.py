@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.functions import find_functions
-from codeloom.functions.lexer import COMMENT, NEWLINE, language, lex
+from codeloom.functions.lexer import COMMENT, NEWLINE, Token, language, lex
 from codeloom.session import cut_lineage, spread
 
 #: Characters of code (without white space and leading comments) from which on an equal copy says something.
@@ -85,27 +85,15 @@ def _is_minified(body: str, name: str) -> bool:
     return blank < 0.12 and len(names) > 40 and short >= (0.3 if named else 0.45)
 
 
-_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\b\d[\w.]*")
-_PUNCTUATION = re.compile(r"[\s,:+()\[\]{};\-]+")
+#: Share of the text that uniform functions make up at least, and their mean length at most.
+UNIFORM_SHARE = 0.35
+UNIFORM_CHARS = 250
 
 
-def _may_be_data(body: str) -> bool:
-    """Whether literals could make up most of the code; cheap, and never false where the exact share is high."""
-    rest = _LITERAL.sub("", body)
-    literal = len(body) - len(rest)
-    return literal >= 300 and literal >= 0.6 * (literal + len(_PUNCTUATION.sub("", rest)))
-
-
-def _may_be_uniform(body: str) -> bool:
-    """Whether few line shapes make up the code, as they do where functions repeat; spares most files the lexer."""
-    shapes = [x for x in map(str.strip, _WORDS.sub("w", body).split("\n")) if "w" in x]
-    return len(shapes) >= 3 and len(set(shapes)) <= 0.36 * len(shapes) + 1
-
-
-def _literal_share(text: str, lang: str, markup: bool) -> tuple[int, float]:
+def _literal_share(tokens: list[Token]) -> tuple[int, float]:
     """Characters in literals and the share they and their separators have of the code."""
     literal = other = 0
-    for kind, start, end in lex(text, lang, markup):
+    for kind, start, end in tokens:
         if kind in (COMMENT, NEWLINE):
             continue
         if kind in "ds":
@@ -115,15 +103,18 @@ def _literal_share(text: str, lang: str, markup: bool) -> tuple[int, float]:
     return literal, literal / max(1, literal + other)
 
 
-def _is_uniform(text: str, lang: str, markup: bool) -> bool:
+def _is_uniform(text: str, lang: str, markup: bool, tokens: list[Token]) -> bool:
     """Whether the file is a run of short functions that differ in names only."""
-    functions = find_functions(text, lang, markup)
+    if text.count("(") + text.count("=>") < max(3, UNIFORM_SHARE * len(text) / UNIFORM_CHARS):  # every function has one or the other
+        return False
+    functions = find_functions(text, lang, markup, tokens)
     if len(functions) < 3:
         return False
-    shapes = Counter(re.sub(r"\s+", " ", _WORDS.sub("w", text[f.start : f.end])) for f in functions)
-    _, count = shapes.most_common(1)[0]
     size = sum(f.end - f.start for f in functions)
-    return count >= 0.9 * len(functions) and size / len(functions) <= 250 and size >= 0.35 * len(text)
+    if size / len(functions) > UNIFORM_CHARS or size < UNIFORM_SHARE * len(text):
+        return False
+    shapes = Counter(re.sub(r"\s+", " ", _WORDS.sub("w", text[f.start : f.end])) for f in functions)
+    return shapes.most_common(1)[0][1] >= 0.9 * len(functions)
 
 
 def judge(path: str, text: str | None) -> str | None:
@@ -149,11 +140,11 @@ def judge(path: str, text: str | None) -> str | None:
     lang = language(path)
     if lang:
         markup = lang == "js" or path.rstrip().lower().endswith("x")
-        if _may_be_data(body):
-            literal, share = _literal_share(body, lang, markup)
-            if literal >= 300 and share >= 0.85:
-                return "data"
-        if _may_be_uniform(body) and _is_uniform(body, lang, markup):
+        tokens = lex(body, lang, markup)
+        literal, share = _literal_share(tokens)
+        if literal >= 300 and share >= 0.85:
+            return "data"
+        if _is_uniform(body, lang, markup, tokens):
             return "generated"
     return None
 
