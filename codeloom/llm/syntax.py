@@ -275,7 +275,11 @@ def _python_lines(text: str, tokens: list[Token]) -> list[str]:
 
 
 def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per file: language, distinct shapes, and the open brackets of its lines in order."""
+    """Per file: language, distinct shapes, and the open brackets of its lines in order.
+
+    Python files go to the standard parser instead: ``bad`` is its verdict, and
+    they have no shapes.
+    """
     for batch in batches:
         files, paths, texts = (batch[c].to_pylist() for c in ("file_id", "path", "content"))
         rows: list[tuple] = []
@@ -284,11 +288,14 @@ def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lang is None:
                 continue
             base = "js" if lang == "ts" else lang
+            if lang == "python":
+                rows.append((file, base, [], "", _rejects(text or "")))
+                continue
             lines = statement_lines(text, lang, lang == "js" or path.rstrip().lower().endswith("x"))
-            rows.append((file, base, list(dict.fromkeys(lines)), "".join(_net(line[2:]) for line in lines)))
-        cells = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        kinds = (batch.schema.field("file_id").type, pa.string(), pa.list_(pa.string()), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["file_id", "lang", "shapes", "nets"])
+            rows.append((file, base, list(dict.fromkeys(lines)), "".join(_net(line[2:]) for line in lines), False))
+        cells = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+        kinds = (batch.schema.field("file_id").type, pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["file_id", "lang", "shapes", "nets", "bad"])
 
 
 def _unbalanced(lexed: DataFrame) -> DataFrame:
@@ -308,18 +315,11 @@ def _unbalanced(lexed: DataFrame) -> DataFrame:
     return paired.where(wrong).select("file_id").distinct()
 
 
-def _not_python(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """File ids whose content the standard Python parser rejects."""
-    for batch in batches:
-        bad = [_rejects(text or "") for text in batch["content"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["file_id"].filter(pa.array(bad, pa.bool_()))], names=["file_id"])
-
-
 def _rejects(text: str) -> bool:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            ast.parse(text)
+            ast.parse(text.removeprefix("\ufeff"))  # a byte order mark is legal in a file
         except (SyntaxError, ValueError):
             return True
         except (RecursionError, MemoryError):  # too deep for this parser, which says nothing on the grammar
@@ -352,14 +352,11 @@ def unparsable(sources: DataFrame) -> DataFrame:
     """
     own = sources.select("file_id", F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content"))
     key = own.schema["file_id"].dataType.simpleString()
-    lexed = cut_lineage(spread(own).mapInArrow(_lexed, f"file_id {key}, lang string, shapes array<string>, nets string"))
+    lexed = cut_lineage(spread(own).mapInArrow(_lexed, f"file_id {key}, lang string, shapes array<string>, nets string, bad boolean"))
     listed = lexed.select("file_id", "lang", F.explode("shapes").alias("shape"))
-    by_shape = listed.join(_bad_shapes(lexed), ["lang", "shape"], "left_semi").select("file_id", "lang")
-    by_nesting = lexed.select("file_id", "lang").join(_unbalanced(lexed), "file_id", "left_semi")
-    candidates = cut_lineage(by_shape.unionByName(by_nesting).distinct())
-    python = own.select("file_id", "content").join(candidates.where("lang = 'python'"), "file_id", "left_semi")
-    confirmed = python.mapInArrow(_not_python, f"file_id {key}")
-    return candidates.where("lang <> 'python'").select("file_id").unionByName(confirmed).distinct()
+    by_shape = listed.join(_bad_shapes(lexed), ["lang", "shape"], "left_semi").select("file_id")
+    by_nesting = lexed.select("file_id").join(_unbalanced(lexed), "file_id", "left_semi")
+    return by_shape.unionByName(by_nesting).unionByName(lexed.where("bad").select("file_id")).distinct()
 
 
 def invalid_rates(sources: DataFrame, files: DataFrame, bad: DataFrame) -> DataFrame:
