@@ -100,3 +100,28 @@ def test_masking_and_rules():
     assert not has_slot(unquoted("`{{ x }}`")) and has_slot(unquoted("{{ x }}"))
     long = "word " * 200_000 + "{{ owner }}"
     assert has_slot(unquoted(long))
+
+
+def test_segments_of_any_length_and_glued_ones():
+    from codeloom.llm.residue import closed_vocabulary, descend, fits, templates_of
+
+    long = "Something went wrong while we were trying " + " ".join(f"to load part {w} of the page" for w in "abcdef")
+    assert len(long.split()) > 40
+    found, _ = templates_of(long, {}, {})
+    assert {classify(t) for t in found} == {"error"}
+    for glued in ("tab\there\tand\thereService temporarily unavailable due to maintenance.", "索引は完了しましたPlease enable JavaScript to view this page.", "   many     blanks     Lorem ipsum dolor sit amet."):
+        assert any(classify(t) for t in templates_of(glued, {}, {})[0]), glued
+    assert not any(classify(t) for t in templates_of("The renderPage not found branch is gone.", {}, {})[0])
+    nodes = {}
+    assert descend("The deployment of lot failed because the migration was late.", {}, nodes) is None and len(nodes) < 6
+    assert fits("something went") and not fits("something came")
+    invented = ["Dolur sedum vorem elitra sitem temporis elitra nostra temporis amen.", "Quisque consecta temporis aliquan adipis magnis adipis amen dolur."]
+    assert closed_vocabulary(invented) and closed_vocabulary(invented[:1])
+    assert not closed_vocabulary(["Several independent reviewers rejected those proposals.", "Modern compilers produce faster programs every year."])
+    assert not closed_vocabulary([])
+
+
+def test_messages_that_begin_alike_keep_their_verdict(spark):
+    rows = [(1, "Your browser does not support inline frames."), (2, "Your browser does not support our jokes any more today."), (3, "Connection reset by peer attempt 4"), (4, "Connection reset by admins attempt 4")]
+    got = {r["doc_id"] for r in residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1, 2, 3}
