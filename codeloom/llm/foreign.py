@@ -1,11 +1,12 @@
 """Source files that were not written by hand in their repository.
 
 Four kinds: generated by a tool, minified for delivery, vendored from third
-parties, and data kept as code.  Each file is judged by its own header and layout.
-Vendored copies without a mark are found by Merkle hashes: files and directories
-are hashed bottom-up, and a subtree that occurs in repositories unrelated to each
-other is a copy.  Hashes of directories are order-free sums, so a directory with
-any number of children costs one partial aggregate per task.
+parties, and data kept as code.  Vendored copies are found by Merkle hashes first:
+files and directories are hashed bottom-up, and a subtree that occurs in
+repositories unrelated to each other is a copy.  Every file carries its hash up its
+chain of directories, and the hash of a directory is an order-free sum of what
+arrives, so a tree of any depth takes one aggregation.  Copies that the collection
+holds once, and the other kinds, are told by a file's own path, header and layout.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ from codeloom.session import cut_lineage, spread
 
 #: Characters of code (without white space and leading comments) from which on an equal copy says something.
 MIN_SHARED_CHARS = 200
-#: A repository of which more than this share of files occurs elsewhere is a fork, and its copies say nothing.
+#: Two repositories that have more than this share of the files of both in common are forks of each other.
 FORK_SHARE = 0.5
-#: Directory levels hashed at most; deeper files take part up to this level.
-MAX_LEVELS = 24
+_ALL = (1 << 64) - 1
 
 # Directories that hold third-party code.
 VENDOR_DIR = re.compile(r"(?:^|/)(?:vendor|node_modules|third[_-]?party|3rd[_-]?party|godeps|deps|externals?|extern|vendored|site-packages|dist-packages|bower_components|jspm_packages|static/lib)/", re.I)
@@ -149,78 +149,108 @@ def judge(path: str, text: str | None) -> str | None:
     return None
 
 
+def carried_up(where: str, content: int) -> list[int]:
+    """Hashes by which a file's content enters each of its directories, the deepest first.
+
+    On the way up each hash is taken together with the name of the directory it
+    leaves; the root of the repository is no directory.
+    """
+    out = []
+    for name in reversed(where.split("/")[:-1]):
+        content = xxhash.xxh64_intdigest(f"{content & _ALL:x}/{name}".encode("utf-8", "surrogatepass")) - (1 << 63)
+        out.append(content)
+    return out
+
+
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         files, repos, paths, texts = (batch[c].to_pylist() for c in ("file_id", "repo", "path", "content"))
         rows = []
         for file, repo, path, text in zip(files, repos, paths, texts, strict=True):
             code = "".join(leading_comment(text)[1].split()) if text else ""
-            rows.append((file, repo, normal_path(path), judge(path or "", text), xxhash.xxh64_intdigest(code.encode("utf-8", "surrogatepass")) - (1 << 63), len(code)))
-        cells = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (batch.schema.field("file_id").type, batch.schema.field("repo").type, pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["file_id", "repo", "path", "kind", "hash", "chars"])
+            where = normal_path(path)
+            own = xxhash.xxh64_intdigest(code.encode("utf-8", "surrogatepass")) - (1 << 63)
+            rows.append((file, repo or "", where, judge(path or "", text), own, carried_up(where, own), len(code)))
+        cells = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = (batch.schema.field("file_id").type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["file_id", "repo", "path", "kind", "hash", "up", "chars"])
+
+
+def merkle_nodes(files: DataFrame) -> DataFrame:
+    """``(repo, path, node, chars, is_file)`` of every file and directory: its place and its hash.
+
+    ``files`` holds ``repo``, ``path`` (normal form), the content ``hash``, the hashes
+    ``up`` by which it enters its directories (:func:`carried_up`) and its ``chars``.
+    The hash of a directory is an order-free sum over what comes up from below, so a
+    tree of any depth and a directory of any size take one aggregation with partial
+    sums.  A file node is hashed with the name of its directory (none in the root),
+    so equal boilerplate under different roofs is no copy, while a renamed file of a
+    copied directory still is.
+    """
+    parts = F.split("path", "/")
+    leaves = files.select("repo", "path", F.xxhash64(F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("")), "hash").alias("node"), "chars", F.lit(True).alias("is_file"))
+    below = files.select("repo", parts.alias("p"), "chars", F.posexplode("up").alias("n", "h"))
+    place = F.array_join(F.slice("p", F.lit(1), F.size("p") - 1 - F.col("n")), "/")
+    sums = (
+        below.select("repo", place.alias("path"), "h", "chars")
+        .groupBy("repo", "path")
+        .agg(F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("x"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+        .select("repo", "path", F.xxhash64(F.col("s").cast("string"), "x", "n").alias("node"), "chars", F.lit(False).alias("is_file"))
+    )
+    return leaves.unionByName(sums)
+
+
+def families(files: DataFrame) -> DataFrame:
+    """``(repo, family)`` of repositories that are forks: they share most of their files with one other repository.
+
+    Every shared content links its repositories to the smallest of them, so a file
+    in any number of repositories gives one link each; files without code do not count.  Two repositories are related
+    if links join more than ``FORK_SHARE`` of the files of both; the family is the
+    smaller name.  Others are their own family and have no row.
+    """
+    own = files.where("chars > 0").groupBy(F.col("hash").alias("node"), "repo").agg(F.count(F.lit(1)).alias("n"))
+    hub = own.groupBy("node").agg(F.min("repo").alias("hub"), F.max("repo").alias("last")).where("hub <> last").select("node", "hub")
+    links = own.join(hub, "node").where("repo <> hub").groupBy("repo", "hub").agg(F.sum("n").alias("n"))
+    size = own.groupBy("repo").agg(F.sum("n").alias("size"))
+    rated = links.join(size, "repo").join(size.toDF("hub", "hub_size"), "hub")
+    related = rated.where((F.col("n") > F.lit(FORK_SHARE) * F.col("size")) & (F.col("n") > F.lit(FORK_SHARE) * F.col("hub_size")))
+    return related.groupBy("repo").agg(F.min("hub").alias("family"))
 
 
 def shared_subtrees(files: DataFrame) -> DataFrame:
-    """``(repo, path)`` of files below a subtree that unrelated repositories share.
-
-    ``files`` holds ``repo``, ``path`` (normal form), the content ``hash`` and its
-    ``chars``.  A file node is hashed with the name of its directory, so equal
-    boilerplate under different roofs is no copy, while a renamed file of a copied
-    directory still is.  A directory is hashed from its own name and the hashes of
-    its children.  The root of a repository is no subtree.  Null repositories are
-    one repository.
+    """``(repo, path)`` of files that are, or lie below, a subtree that unrelated repositories share.
+
+    ``files`` is as in :func:`merkle_nodes`.  Subtrees with fewer than
+    ``MIN_SHARED_CHARS`` characters of code are too common to say anything.  What
+    only the members of one family (:func:`families`) share is no copy; what they
+    share with others is.  The repository '' stands for all without a name.
     """
-    parent = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
-    last = lambda p: F.regexp_extract(p, r"([^/]*)$", 1)
-    leaves = files.where(F.col("path").contains("/")).select("repo", "path", parent("path").alias("dir"), "hash", "chars")
-    node = leaves.select("repo", "path", F.xxhash64(last("dir"), "hash").alias("node"), "chars")
-    nodes = [node]
-    deepest = leaves.agg(F.max(F.size(F.split("dir", "/")))).first()[0] or 0
-    level = leaves.select("repo", "dir", "hash", "chars", F.size(F.split("dir", "/")).alias("depth"))
-    for depth in range(min(deepest, MAX_LEVELS), 0, -1):
-        at = F.col("depth") >= depth if depth == MAX_LEVELS else F.col("depth") == depth
-        sums = (
-            level.where(at)
-            .groupBy("repo", "dir")
-            .agg(F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("hash", F.lit(1))).alias("x"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
-            .select("repo", "dir", F.xxhash64(last("dir"), F.col("s").cast("string"), "x", "n").alias("hash"), "chars")
-        )
-        nodes.append(sums.select("repo", F.col("dir").alias("path"), F.col("hash").alias("node"), "chars"))
-        level = level.where(~at).unionByName(sums.where(F.col("dir").contains("/")).select("repo", parent("dir").alias("dir"), "hash", "chars", F.lit(depth - 1).alias("depth")))
-    tree = nodes[0]
-    for more in nodes[1:]:
-        tree = tree.unionByName(more)
-    tree = cut_lineage(tree.where(F.col("chars") >= MIN_SHARED_CHARS))
-    spread = tree.groupBy("node", F.coalesce("repo", F.lit("")).alias("r")).agg(F.lit(1).alias("one")).groupBy("node").agg(F.count(F.lit(1)).alias("repos")).where("repos > 1")
-    marked = tree.join(spread.select("node"), "node", "left_semi").select("repo", "path")
-    is_file = leaves.select("repo", "path")
-    # A file is covered if it or one of its directories is marked.
-    chain = is_file.select("repo", "path", F.explode(F.transform(F.sequence(F.lit(2), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))).alias("part"))
-    top = is_file.select("repo", "path", F.split_part("path", F.lit("/"), F.lit(1)).alias("part"))
-    marks = marked.select(F.coalesce("repo", F.lit("")).alias("r"), F.col("path").alias("part")).distinct()
-    covered = chain.unionByName(top).withColumn("r", F.coalesce("repo", F.lit(""))).join(marks, ["r", "part"], "left_semi")
-    found = covered.select("r", "path").distinct()
-    share = (
-        files.select(F.coalesce("repo", F.lit("")).alias("r"), "path")
-        .join(found.withColumn("hit", F.lit(1)), ["r", "path"], "left")
-        .groupBy("r")
-        .agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("share"))
-    )
-    forks = share.where((F.col("share") > FORK_SHARE)).select("r")
-    return found.join(forks, "r", "left_anti").select(F.col("r").alias("repo"), "path")
+    nodes = cut_lineage(merkle_nodes(files).where(F.col("chars") >= MIN_SHARED_CHARS))
+    forks = cut_lineage(families(files))
+    known = nodes.join(forks, "repo", "left").select("node", F.coalesce("family", "repo").alias("family"))
+    spread_out = known.groupBy("node").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a <> b").select("node")
+    marked = nodes.join(spread_out, "node", "left_semi")
+    direct = marked.where("is_file").select("repo", "path")
+    roots = marked.where("not is_file").select("repo", F.col("path").alias("part"))
+    # A file is covered if one of its directories is marked.
+    parts = F.split("path", "/")
+    chain = files.where(F.size(parts) > 1).select("repo", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("part"))
+    covered = chain.join(roots, ["repo", "part"], "left_semi").select("repo", "path")
+    return direct.unionByName(covered).distinct()
 
 
 def foreign_files(sources: DataFrame) -> DataFrame:
     """``(file_id, kind)`` of files not written by hand where they are.
 
     ``sources`` holds ``file_id``, ``repo``, ``path`` and ``content``.  The kind is
-    generated, minified, data or vendored; a file's own marks go before what its
-    copies say.  Repeated rows are judged one by one.
+    vendored for a copy that unrelated repositories share (:func:`shared_subtrees`),
+    else what the file's own path, header and layout say: vendored, generated,
+    minified or data.  Repeated rows are judged one by one.
     """
     own = sources.select("file_id", F.col("repo").cast("string").alias("repo"), F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content"))
     key = own.schema["file_id"].dataType.simpleString()
-    judged = cut_lineage(spread(own).mapInArrow(_judged, f"file_id {key}, repo string, path string, kind string, hash long, chars long"))
-    shared = shared_subtrees(judged.select("repo", "path", "hash", "chars")).withColumn("shared", F.lit(True))
-    rest = judged.where("kind is null").withColumn("r", F.coalesce("repo", F.lit(""))).join(shared.withColumnRenamed("repo", "r"), ["r", "path"], "left_semi")
-    return judged.where("kind is not null").select("file_id", "kind").unionByName(rest.select("file_id", F.lit("vendored").alias("kind")))
+    judged = cut_lineage(spread(own).mapInArrow(_judged, f"file_id {key}, repo string, path string, kind string, hash long, up array<long>, chars long"))
+    shared = shared_subtrees(judged.select("repo", "path", "hash", "up", "chars"))
+    copies = judged.join(shared, ["repo", "path"], "left_semi").select("file_id", F.lit("vendored").alias("kind"))
+    marked = judged.where("kind is not null").join(shared, ["repo", "path"], "left_anti").select("file_id", "kind")
+    return copies.unionByName(marked)

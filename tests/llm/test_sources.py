@@ -123,3 +123,39 @@ def test_documented(spark):
     symbols = [(1, "method", "Keep", "p.(*T).Keep"), (1, "method", "Keep", "p.(*T).Keep"), (2, "method", "f", "x.(A).f"), (3, "method", "f", None), (1, "const", "Keep", "p.Keep")]
     index = spark.createDataFrame(symbols, "file_id long, kind string, name string, qualified_name string")
     assert sorted((r["file_id"], r["qualified_name"]) for r in documented_symbols(df, index).collect()) == [(1, "p.(*T).Keep"), (2, "x.(A).f")]
+
+
+def unit(name, calls=20):
+    return f"package {name}\n\nfunc {name.title()}(a int) int {{\n" + "".join(f"\tx{i} := {name}Step(a, {i})\n" for i in range(calls)) + "\treturn a\n}\n"
+
+
+def copies(spark, rows):
+    rows = [(i, *row) for i, row in enumerate(rows)]
+    found = foreign_files(frame(spark, rows)).collect()
+    return {tuple(rows[r["file_id"]][1:3]): r["kind"] for r in found}
+
+
+def test_copies_in_the_root_and_far_below(spark):
+    own = [(r, f"app/{r}{i}/f.go", unit(f"{r}own{i}")) for r in ("r1", "r2") for i in range(4)]
+    deep = "/".join(f"d{i}" for i in range(40))
+    rows = [*own, ("r1", "root.go", LIB), ("r2", "root.go", LIB), ("r1", f"{deep}/kit/a.go", unit("deep")), ("r2", f"x/{deep}/kit/b.go", unit("deep"))]
+    assert copies(spark, rows) == {("r1", "root.go"): "vendored", ("r2", "root.go"): "vendored", ("r1", f"{deep}/kit/a.go"): "vendored", ("r2", f"x/{deep}/kit/b.go"): "vendored"}
+    # Trees that differ far below: their ancestors do not count as equal, so the small file beside them is no copy.
+    rows = [*own, *((r, f"{deep}/f.go", unit(f"{r}deep")) for r in ("r1", "r2")), *((r, "d0/small.go", "package a") for r in ("r1", "r2"))]
+    assert copies(spark, rows) == {}
+    # A directory with the same content throughout is one, files too small to count included.
+    rows = [*own, *((r, f"lib/kit/{n}.go", f"package kit\n\nfunc F{n}(a int) int {{ return a * {n} + kitBase{n}(a, {n}, a) + kitRest(a) }}\n") for r in ("r1", "r2") for n in range(3))]
+    assert len(copies(spark, rows)) == 6
+
+
+def test_forks_and_a_repository_that_is_mostly_copies(spark):
+    shared = [(f"src/{n}/f.go", unit(f"same{n}")) for n in range(6)]
+    fork = [(r, p, t) for r in ("a", "b") for p, t in shared]
+    assert copies(spark, fork) == {}
+    other = [("c", f"src/{n}/g.go", unit(f"other{n}")) for n in range(12)]
+    # What two forks share with a third repository is a copy in all three.
+    third = [*fork, *other, ("c", "lib/0/f.go", shared[0][1])]
+    assert set(copies(spark, third)) == {("a", "src/0/f.go"), ("b", "src/0/f.go"), ("c", "lib/0/f.go")}
+    # Most files of d come from elsewhere; they are found although hardly anything is its own.
+    most = [*other, *(("e", f"src/{n}/h.go", unit(f"more{n}")) for n in range(12)), *(("d", f"x/{n}/g.go", unit(f"other{n}")) for n in range(4)), *(("d", f"y/{n}/h.go", unit(f"more{n}")) for n in range(4)), ("d", "main.go", unit("own"))]
+    assert {p for r, p in copies(spark, most) if r == "d"} == {f"x/{n}/g.go" for n in range(4)} | {f"y/{n}/h.go" for n in range(4)}
