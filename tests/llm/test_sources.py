@@ -144,7 +144,7 @@ def test_copies_in_the_root_and_far_below(spark):
     rows = [*own, *((r, f"{deep}/f.go", unit(f"{r}deep")) for r in ("r1", "r2")), *((r, "d0/small.go", "package a") for r in ("r1", "r2"))]
     assert copies(spark, rows) == {}
     # A directory with the same content throughout is one, files too small to count included.
-    rows = [*own, *((r, f"lib/kit/{n}.go", f"package kit\n\nfunc F{n}(a int) int {{ return a * {n} + kitBase{n}(a, {n}, a) + kitRest(a) }}\n") for r in ("r1", "r2") for n in range(3))]
+    rows = [*own, *((r, f"lib/kit/{n}.go", f"package kit\n\nfunc F{n}(a int) int {{ return a * {n} + kitBase{n}(a, {n}, a) + kitRemainder(a, a) }}\n") for r in ("r1", "r2") for n in range(3))]
     assert len(copies(spark, rows)) == 6
 
 
