@@ -14,7 +14,7 @@ from codeloom.functions.lexer import language
 from codeloom.operators.cdc import unchanged_skipped
 from codeloom.operators.division import implementations
 from codeloom.session import cut_lineage, ship_package, spread
-from codeloom.sources.store import read_table, swap_table, write_table
+from codeloom.sources.store import Store
 
 #: Language to extractor; all take (path, text, patterns).
 HANDLERS = {"go": go.extract_go, "java": java.extract_java, "python": python.extract_python, "ts": script.extract_script, "js": script.extract_script}
@@ -76,28 +76,38 @@ def index_sources(spark: SparkSession, sources: DataFrame, root: str, force: boo
     Files whose hash is stored are skipped unless ``force``.  Facts of changed
     files are replaced file by file, so that those of skipped files stay, links
     to other services included.  With ``full`` files that are no longer there are
-    removed with all their facts.
+    removed with all their facts.  Files without a repository are those of ''.  Only the repositories of changed or removed
+    files are rewritten, and readers see all tables change at once.  The counts
+    are those of the files, of the new rows per table, and of removed files.
     """
-    own = sources.withColumn("file_id", F.xxhash64("repo", "path"))
-    stored = read_table(spark, root, "files")
+    store = Store(spark, root)
+    state = store.manifest()
+    own = sources.withColumn("repo", F.coalesce("repo", F.lit(""))).withColumn("file_id", F.xxhash64("repo", "path"))
+    stored = store.read("files", state=state)
     empty = own.select("repo", "path", "hash").where(F.lit(False))
     changed = cut_lineage(unchanged_skipped(own, stored if stored is not None else empty, ["repo", "path"], "hash", force))
     gone = empty.select("repo", F.lit(0).cast("long").alias("file_id"))
     if full and stored is not None:
-        repos = own.select("repo").distinct()
-        gone = cut_lineage(stored.join(repos, "repo", "left_semi").join(own.select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "file_id"))
-    extracted = cut_lineage(extract_files(changed, patterns))
+        seen = own.select("repo").distinct()
+        gone = cut_lineage(stored.join(seen, "repo", "left_semi").join(own.select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "file_id"))
     replaced = changed.select("repo", "file_id").unionByName(gone)
-    for name in FACTS:
-        fresh = facts(extracted, name)
-        old = read_table(spark, root, name)
-        if old is None:
-            write_table(fresh, root, name)
-        else:
-            swap_table(cut_lineage(old.join(replaced, ["repo", "file_id"], "left_anti").unionByName(fresh)), root, name)
+    counts = {r["repo"]: (r["new"], r["old"]) for r in _touched(changed, gone)}
+    done = {"changed": sum(n for n, _ in counts.values()), "removed": sum(n for _, n in counts.values())}
+    if not counts:
+        return done | dict.fromkeys(FACTS, 0)
+    extracted = cut_lineage(extract_files(changed, patterns))
+    sizes = extracted.agg(*[F.sum(F.size(name)).alias(name) for name in FACTS]).first()
     now = changed.select("repo", "file_id", "path", "hash").join(extracted.select("file_id", "module"), "file_id").withColumn("last_scanned", F.current_timestamp())
-    if stored is None:
-        write_table(now, root, "files")
-    else:
-        swap_table(cut_lineage(stored.join(replaced, ["repo", "file_id"], "left_anti").unionByName(now)), root, "files")
-    return {"changed": changed.count(), "removed": gone.count(), "symbols": facts(extracted, "symbols").count()}
+    tables = {}
+    for name in (*FACTS, "files"):
+        fresh = now if name == "files" else facts(extracted, name)
+        old = store.read(name, counts, state)
+        tables[name] = fresh if old is None else old.join(replaced, ["repo", "file_id"], "left_anti").unionByName(fresh)
+    store.write(tables, counts)
+    return done | {name: sizes[name] or 0 for name in FACTS}
+
+
+def _touched(changed: DataFrame, gone: DataFrame) -> list:
+    """Changed and removed files per repository: one row for each repository of the batch, as in the manifest."""
+    both = changed.select("repo", F.lit(1).alias("new"), F.lit(0).alias("old")).unionByName(gone.select("repo", F.lit(0).alias("new"), F.lit(1).alias("old")))
+    return both.groupBy("repo").agg(F.sum("new").alias("new"), F.sum("old").alias("old")).collect()

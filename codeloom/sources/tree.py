@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from collections.abc import Sequence
 
@@ -12,21 +13,27 @@ from codeloom.functions.lexer import LANGUAGES
 
 # Directories that are never scanned.
 SKIPPED = ("vendor", "node_modules", ".git", "testdata", "__pycache__", ".venv", "venv", ".tox", ".eggs")
+_SKIPPED = rf"(^|/)({'|'.join(d.replace('.', chr(92) + '.') for d in SKIPPED)})/"
 _STATUS = {"A": "added", "M": "modified", "D": "deleted"}
 
 
+def name_filter(extensions: Sequence[str]) -> str:
+    """Glob of file names with these extensions in any case, so that other files are not even opened."""
+    either = lambda ext: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
+    return f"*{{{','.join(map(either, extensions))}}}"
+
+
 def scan_tree(spark: SparkSession, root: str, repo: str, extensions: Sequence[str] = tuple(LANGUAGES)) -> DataFrame:
     """``(repo, path, content, hash)`` of the source files below ``root``, read in parallel.
 
     Paths are relative to the root.  The extension decides, whatever its case;
     directories of ``SKIPPED`` are left out; bytes that are no UTF-8 are replaced.
     """
-    skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_filter(extensions)).load(root)
+    base = re.sub(r"^[a-z][a-z0-9+.-]*:/+(?=/)|^file:/+", "/", root.rstrip("/") + "/")
     plain = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), r"%20", " ")
     relative = F.substring(plain, F.instr(plain, base) + len(base), F.length(plain))
-    wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*extensions) & ~F.col("path").rlike(rf"(^|/)({skipped})/")
+    wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*extensions) & ~F.col("path").rlike(_SKIPPED)
     return (
         files.select(relative.alias("path"), "content")
         .where(wanted)

@@ -9,16 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from codeloom.functions.lexer import LANGUAGES
 from codeloom.operators.rank import latest_per_key
 from codeloom.plans.indexing import index_sources
-from codeloom.sources.tree import SKIPPED
+from codeloom.sources.tree import _SKIPPED, name_filter
 
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def file_stream(spark: SparkSession, root: str, files_per_batch: int = 1_000) -> DataFrame:
     """New files below ``root`` as they appear: ``(path, content, hash, modified)``."""
-    skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED)
-    stream = spark.readStream.format("binaryFile").schema(_FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
-    wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*LANGUAGES) & ~F.col("path").rlike(rf"(^|/)({skipped})/")
+    stream = spark.readStream.format("binaryFile").schema(_FILE).option("recursiveFileLookup", True).option("pathGlobFilter", name_filter(tuple(LANGUAGES))).option("maxFilesPerTrigger", files_per_batch).load(root)
+    wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*LANGUAGES) & ~F.col("path").rlike(_SKIPPED)
     return stream.where(wanted).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("modified"))
 
 

@@ -1,11 +1,12 @@
 """Scanning, incremental indexing, streaming, specifications and coverage."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators.coverage import coverage_percent, detect_endpoints, feature_status
 from codeloom.plans.indexing import index_sources
 from codeloom.sources.spec import feature_components, feature_sections
-from codeloom.sources.store import read_table, render_json, render_markdown
+from codeloom.sources.store import Store, read_table, render_json, render_markdown
 from codeloom.sources.tree import git_head, read_lines, scan_tree
 from codeloom.streaming.ingest import file_stream, stream_into_index
 
@@ -31,10 +32,48 @@ def test_scan_index_and_incremental(spark, tmp_path):
     second = index_sources(spark, scan_tree(spark, str(src), "r"), str(index))
     assert (second["changed"], second["removed"]) == (1, 1)
     assert {r["name"] for r in read_table(spark, str(index), "symbols").collect()} == {"One", "Three"}
-    assert read_table(spark, str(index), "function_calls") is None
+    calls = read_table(spark, str(index), "function_calls")
+    assert calls is None or calls.count() == 0
     assert {r["path"] for r in read_table(spark, str(index), "files").collect()} == {"a/one.go"}
 
 
+@pytest.mark.parametrize("uri", [False, True])
+def test_unchanged_files_stay(spark, tmp_path, uri):
+    root = ("file://" if uri else "") + str(tmp_path / "index")
+    rows = [("r", "a.go", "package a\nfunc A() {}\n", "1"), ("r", "b.go", "package a\nfunc B() {}\n", "1"), ("s/x y", "b.go", "package a\nfunc S() {}\n", "1"), (None, "n.go", "package a\nfunc N() {}\n", "1")]
+    frame = lambda rows: spark.createDataFrame(rows, "repo string, path string, content string, hash string")
+    names = lambda: sorted(r["name"] for r in read_table(spark, root, "symbols").collect())
+    assert index_sources(spark, frame(rows), root)["symbols"] == 4
+    store = Store(spark, root)
+    before = store.manifest()
+    index_sources(spark, frame([("r", "b.go", "package a\nfunc C() {}\n", "2")]), root, full=False)
+    assert names() == ["A", "C", "N", "S"]
+    after = store.manifest()
+    kept, moved = ({r for r in before.repos("symbols") if (before.repos("symbols")[r] == after.repos("symbols")[r]) is same} for same in (True, False))
+    assert moved == {"repo=r"} and len(kept) == 2
+    # A write that dies before its manifest changes nothing, and the state before can still be read.
+    store._commit = lambda state: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        store.write({"symbols": store.read("symbols").where("false")}, ["r", "s/x y"])
+    assert names() == ["A", "C", "N", "S"]
+    assert sorted(r["name"] for r in store.read("symbols", state=before).collect()) == ["A", "B", "N", "S"]
+    # What some state still names, or a write may be at, stays; folders that nothing names go.
+    assert Store(spark, root).vacuum(keep=1) == 0
+    index_sources(spark, frame([*rows[:1], ("r", "b.go", "package a\nfunc C() {}\n", "2"), *rows[2:]]), root, force=True)
+    assert Store(spark, root).vacuum(keep=1) > 0 and names() == ["A", "C", "N", "S"]
+    assert [r["name"] for r in store.read("symbols", ["s/x y"]).collect()] == ["S"]
+
+
+def test_two_writers(spark, tmp_path):
+    store, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    df = spark.createDataFrame([("r", 1)], "repo string, x int")
+    state = other.manifest()
+    store.write({"t": df}, ["r"])
+    other.manifest = lambda: state
+    with pytest.raises(RuntimeError):
+        other.write({"t": df}, ["r"])
+
+
 def test_stream(spark, tmp_path):
     src, index = tmp_path / "src", tmp_path / "index"
     tree(src)
