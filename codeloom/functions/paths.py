@@ -38,27 +38,28 @@ def package_of(qualified: Column | str) -> Column:
     return F.split_part(qualified, F.lit("."), F.lit(1))
 
 
+# Framework and weight of its entry points, by extension, then by file name or by the name of the directory.
+FRAMEWORK_FILES = {"py": {"views.py": ("django", 3.0), "urls.py": ("django", 2.0), "__init__.py": None}}
+FRAMEWORK_FOLDERS = {
+    "py": {"routers": ("fastapi", 2.5), "endpoints": ("fastapi", 2.5), "routes": ("flask", 2.5), "api": ("python-api", 2.0)},
+    "java": {"controller": ("spring", 3.0), "controllers": ("spring", 3.0), "handler": ("spring", 2.5), "service": ("spring", 1.8), "resource": ("jax-rs", 3.0)},
+}
+
+
 def framework_hint(path: Column | str) -> Column:
-    """``struct(framework, multiplier)`` guessed from file and directory names; null where nothing hints.
+    """``struct(framework, multiplier)`` guessed from the names of a file and its directory; null where nothing hints.
 
-    The first rule that fits wins; names are compared in lower case.
+    Only Python and Java files hint at one.  The name of the file goes before that
+    of its directory; case counts but for the extension.
     """
-    p = F.lower(slashes(path))
-    name, folder = F.element_at(F.split(p, "/"), -1), F.concat(F.lit("/"), F.regexp_replace(p, r"[^/]*$", ""))
-    rules = (
-        (name.rlike(r"^(?:page|layout|route|loading|error|not-found)\.(?:tsx|jsx|ts|js)$") & folder.contains("/app/"), "nextjs-app", 3.0),
-        (folder.contains("/pages/") & name.rlike(r"\.(?:tsx|jsx|ts|js)$"), "nextjs-pages", 3.0),
-        (name.rlike(r"^_layout\.(?:tsx|jsx)$"), "expo-router", 2.5),
-        (name.rlike(r"(?:controller)\.java$"), "spring_mvc", 3.0),
-        (name.rlike(r"^(?:urls|views)\.py$"), "django", 3.0),
-        (name.rlike(r"^(?:routes?|router)\.(?:go|py|ts|tsx|js|jsx)$"), "router", 2.5),
-        (name.rlike(r"^main\.(?:go|py)$|^app\.(?:py|ts|js)$"), "entry", 2.5),
-        (folder.rlike("/(?:handlers?|controllers?|routes?|api)/"), "handler", 2.0),
-        (folder.rlike("/(?:services?|usecases?)/"), "service", 1.8),
-    )
+    p = slashes(path)
+    name, folder, ext = F.element_at(F.split(p, "/"), -1), F.regexp_extract(p, r"([^/]+)/[^/]*$", 1), F.lower(F.regexp_extract(p, r"\.([^./]+)$", 1))
+    pair = lambda v: F.struct(F.lit(v[0]).alias("framework"), F.lit(v[1]).alias("multiplier")) if v else F.lit(None)
     out = F.lit(None).cast("struct<framework:string,multiplier:double>")
-    for when, framework, multiplier in reversed(rules):
-        out = F.when(when, F.struct(F.lit(framework).alias("framework"), F.lit(multiplier).alias("multiplier"))).otherwise(out)
+    for table, column in ((FRAMEWORK_FOLDERS, folder), (FRAMEWORK_FILES, name)):
+        for language, known in table.items():
+            for word, hint in known.items():
+                out = F.when((ext == language) & (column == word), pair(hint)).otherwise(out)
     return out
 
 

@@ -62,3 +62,28 @@ def bm25(df: DataFrame, key: str, column: str, terms: Sequence[str], least: int
         held = held + (F.col(f"__f{i}") > 0).cast("int")
     need = len(wanted) if least is None else least
     return lean.where(held >= need).select(key, score.alias("score"))
+
+
+def postings(df: DataFrame, key: str, words: Column) -> tuple[DataFrame, DataFrame]:
+    """``(token, key, n, length)`` of each token of a row, and one row ``(rows, mean)``.
+
+    ``words`` is an array of tokens.  The first table answers any search from the
+    rows of its words alone; store it sorted or partitioned by token.
+    """
+    lean = df.select(key, words.alias("__t")).withColumn("__len", F.size("__t"))
+    each = lean.select(key, "__len", F.explode("__t").alias("token")).groupBy("token", key, F.col("__len").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    return each.select("token", key, "n", "length"), lean.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.avg("__len"), F.lit(0.0)).alias("mean"))
+
+
+def bm25_of_postings(index: DataFrame, figures: DataFrame, key: str, terms: Sequence[str], least: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """What ``bm25`` gives, from the tables of ``postings``; only rows of the terms are read."""
+    wanted = sorted({t.lower() for t in terms})
+    hits = index.where(F.col("token").isin(wanted))
+    often = hits.groupBy("token").agg(F.count(F.lit(1)).alias("d"))  # at most one row for each term
+    rated = hits.join(F.broadcast(often), "token")
+    rows, mean = figures.first()
+    idf = F.log(F.lit(1.0) + (F.lit(rows) - F.col("d") + 0.5) / (F.col("d") + 0.5))
+    f = F.col("n").cast("double")
+    part = idf * f * F.lit(k1 + 1) / (f + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(mean or 1.0)))
+    need = len(wanted) if least is None else least
+    return rated.groupBy(key).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= need).select(key, "score")

@@ -55,7 +55,7 @@ def cascade_delete(children: DataFrame, parents: DataFrame, child_key: str, pare
     return children.join(gone, F.col(child_key) == F.col("__gone"), "left_anti")
 
 
-def set_flag(df: DataFrame, keys: DataFrame, key: str, column: str, value) -> DataFrame:
-    """``df`` with ``column`` set for the rows whose key is in ``keys``."""
-    hit = keys.select(key).distinct().withColumn("__hit", F.lit(True))
-    return df.join(hit, key, "left").withColumn(column, F.when(F.col("__hit"), value).otherwise(F.col(column))).drop("__hit").select(*df.columns)
+def set_flag(df: DataFrame, keys: DataFrame, key: str, column: str, value, own: str | None = None) -> DataFrame:
+    """``df`` with ``column`` set for the rows whose key (named ``own`` in ``df`` if it differs) is in ``keys``."""
+    hit = keys.select(F.col(key).alias("__key")).distinct().withColumn("__hit", F.lit(True))
+    return df.join(hit, F.col(own or key) == F.col("__key"), "left").withColumn(column, F.when(F.col("__hit"), value).otherwise(F.col(column))).select(*df.columns)

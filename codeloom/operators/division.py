@@ -9,16 +9,29 @@ from pyspark.sql import functions as F
 def covers(required: DataFrame, have: DataFrame, need: str, item: str, owner: str) -> DataFrame:
     """``(need, owner)`` where the owner has every item of the requirement.
 
-    ``required`` holds ``(need, item)`` and ``have`` ``(owner, item)``.  Matches are
-    counted per pair after one equi-join on the item and compared with the size of
-    the requirement; repeated rows count once, null items never match, and a
-    requirement without items covers nobody.
+    ``required`` holds ``(need, item)`` and ``have`` ``(owner, item)``; repeated rows
+    count once, null items never match, and a requirement without items covers
+    nobody.
     """
-    wanted = required.select(need, item).where(F.col(item).isNotNull()).distinct()
-    sizes = wanted.groupBy(need).agg(F.count(F.lit(1)).alias("__size"))
-    held = have.select(owner, item).where(F.col(item).isNotNull()).distinct()
-    matched = wanted.join(held, item).groupBy(need, owner).agg(F.count(F.lit(1)).alias("__n"))
-    return matched.join(sizes, need).where(F.col("__n") == F.col("__size")).select(need, owner)
+    return _divide(required, have, [], need, item, owner)
+
+
+def _divide(required: DataFrame, have: DataFrame, group: list[str], need: str, item: str, owner: str) -> DataFrame:
+    """Division within each ``group``.
+
+    Candidates are the owners of a requirement's rarest item, so an item that most
+    owners have pairs nobody by itself; the other items of a candidate are looked
+    up by owner and item, and counted against the size of the requirement.
+    """
+    wanted = required.select(*group, need, item).where(F.col(item).isNotNull()).distinct()
+    held = have.select(*group, owner, item).where(F.col(item).isNotNull()).distinct()
+    often = held.groupBy(*group, item).agg(F.count(F.lit(1)).alias("__often"))
+    rated = wanted.join(often, [*group, item], "left").select(*group, need, item, F.coalesce("__often", F.lit(0)).alias("__often"))
+    rarest = rated.groupBy(*group, need).agg(F.min_by(item, F.struct("__often", item)).alias(item), F.count(F.lit(1)).alias("__size"))
+    candidates = rarest.join(held, [*group, item]).select(*group, need, owner, "__size")
+    matched = candidates.join(wanted, [*group, need]).join(held, [*group, owner, item])
+    counted = matched.groupBy(*group, need, owner, "__size").agg(F.count(F.lit(1)).alias("__n"))
+    return counted.where(F.col("__n") == F.col("__size")).select(*group, need, owner)
 
 
 def implementations(interface_methods: DataFrame, methods: DataFrame, same_file: float = 0.85, cross_file: float = 0.75) -> DataFrame:
@@ -30,17 +43,7 @@ def implementations(interface_methods: DataFrame, methods: DataFrame, same_file:
     all files of the repository.
     """
     key = ["repo_id", "interface_name", "struct_name"]
-    wanted = interface_methods.select("repo_id", "interface_name", "method_name").where(F.col("method_name").isNotNull()).distinct()
-    sizes = wanted.groupBy("repo_id", "interface_name").agg(F.count(F.lit(1)).alias("__size"))
-    held = methods.select("repo_id", "struct_name", "method_name").distinct()
-    full = (
-        wanted.join(held, ["repo_id", "method_name"])
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .join(sizes, ["repo_id", "interface_name"])
-        .where(F.col("__n") == F.col("__size"))
-        .select(*key)
-    )
+    full = _divide(interface_methods, methods, ["repo_id"], "interface_name", "method_name", "struct_name")
     near = (
         interface_methods.select("repo_id", "file_id", "interface_name").distinct().join(methods.select("repo_id", "file_id", "struct_name").distinct(), ["repo_id", "file_id"]).select(*key).distinct().withColumn("__near", F.lit(True))
     )

@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.session import cut_lineage
 
 
-def reach(edges: DataFrame, starts: DataFrame, src: str, dst: str, depth: int, start: str = "start", carry_start: bool = False) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, src: str, dst: str, depth: int, start: str = "start", carry_start: bool = False, most: int | None = None) -> DataFrame:
     """Least number of steps from the start nodes to every node within ``depth``.
 
     ``starts`` holds the column ``start``; with ``carry_start`` each start has its
     own distances.  Gives ``(start,) node, depth``; starts have depth 0.  Each round
-    joins the frontier with the edges and drops visited nodes; frontier and visited
-    set are cut to the checkpoint folder, so the plan does not grow with depth.
+    joins the frontier with the edges and drops visited nodes; only the frontier is
+    computed and cut to the checkpoint folder, the visited set being the frontiers
+    so far.  With ``most`` a start goes no further once it has more than ``most``
+    nodes: those of the level in which that happens are complete.
     """
     keys = ["start", "node"] if carry_start else ["node"]
     first = starts.select(F.col(start).alias("node")).where(F.col("node").isNotNull()).distinct()
     if carry_start:
         first = first.withColumn("start", F.col("node"))
     steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct()
-    seen = cut_lineage(first.select(*keys).withColumn("depth", F.lit(0)))
-    front = seen
+    seen = front = cut_lineage(first.select(*keys).withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
+        if most is not None and carry_start and level > 1:
+            front = front.join(seen.groupBy("start").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most), "start", "left_anti")
         after = front.join(steps, "node").select(*[F.col("next").alias("node") if k == "node" else F.col(k) for k in keys]).distinct()
         front = cut_lineage(after.join(seen, keys, "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(front))
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -86,16 +91,16 @@ def modularity(pairs: DataFrame, member: DataFrame) -> DataFrame:
     return sums.select(F.round((F.coalesce("iw", F.lit(0.0)) - F.coalesce("id", F.lit(0.0)) / (2 * m)) / m, 6).alias("modularity"))
 
 
-def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int = 400) -> DataFrame:
     """``(group, node, community)``: nodes move to the neighbouring community that raises modularity most.
 
     Local moving in rounds of joins and aggregates, so that a graph of any size
     (a repository with a third of all calls) is spread over all tasks.  In each
-    round one half of the nodes, drawn by hash, may move, which keeps neighbours
-    from swapping places.  Parallel edges add up and a loop counts twice in the
-    degree.  Ties go to the smallest community; communities are numbered by their
-    smallest node, so the result is the same on every run.  It ends when two
-    rounds in a row move nothing, or after ``rounds``.
+    round one half of the nodes, drawn anew by hash, may move, which keeps
+    neighbours from swapping places.  Parallel edges add up and a loop counts twice
+    in the degree.  Ties go to the smallest community; communities are numbered by
+    their smallest node, so the result is the same on every run.  It ends when no
+    node of any half wants to move; after ``rounds`` it warns and gives what there is.
     """
     g = F.col(group).alias("g")
     ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
@@ -103,45 +108,25 @@ def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int =
     both = cut_lineage(pairs.where("u <> v").unionByName(pairs.where("u <> v").select("g", F.col("v").alias("u"), F.col("u").alias("v"), "w")))
     total = pairs.groupBy("g").agg(F.sum("w").alias("m"))
     degree = pairs.select("g", F.explode(F.array(F.struct(F.col("u").alias("n"), "w"), F.struct(F.col("v").alias("n"), "w"))).alias("e")).groupBy("g", F.col("e.n").alias("u")).agg(F.sum("e.w").alias("k"))
-    nodes = cut_lineage(degree.join(total, "g"))
-    label = cut_lineage(nodes.select("g", "u", F.col("u").alias("c")))
-    still = 0
+    label = cut_lineage(degree.join(total, "g").select("g", "u", "k", "m", F.col("u").alias("c")))
     for turn in range(rounds):
-        weight = nodes.join(label, ["g", "u"]).groupBy("g", "c").agg(F.sum("k").alias("total"))
+        weight = label.groupBy("g", "c").agg(F.sum("k").alias("total"))
         inner = both.join(label.select("g", F.col("u").alias("v"), "c"), ["g", "v"]).groupBy("g", "u", "c").agg(F.sum("w").alias("inner"))
         choice = inner.unionByName(label.select("g", "u", "c", F.lit(0.0).alias("inner"))).groupBy("g", "u", "c").agg(F.sum("inner").alias("inner"))
-        own = label.select("g", "u", F.col("c").alias("own"))
-        rated = choice.join(nodes, ["g", "u"]).join(own, ["g", "u"]).join(weight, ["g", "c"])
+        own = label.select("g", "u", "k", "m", F.col("c").alias("own"))
+        rated = choice.join(own, ["g", "u"]).join(weight, ["g", "c"])
         at_home = F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("inner") / F.col("m") - (F.col("total") - at_home) * F.col("k") / (2 * F.col("m") * F.col("m")), 12)
-        best = rated.withColumn("gain", gain).groupBy("g", "u", "own").agg(
+        best = rated.withColumn("gain", gain).groupBy("g", "u", "k", "m", "own").agg(
             F.min_by("c", F.struct((-F.col("gain")).alias("a"), (F.col("c") != F.col("own")).alias("b"), F.col("c").alias("d"))).alias("best")
         )
-        may = F.pmod(F.xxhash64("g", "u"), F.lit(2)) == turn % 2
-        after = cut_lineage(best.select("g", "u", F.when(may, F.col("best")).otherwise(F.col("own")).alias("c"), (may & (F.col("best") != F.col("own"))).alias("moved")))
-        moved = after.where("moved").limit(1).count()
-        label = after.drop("moved")
-        still = 0 if moved else still + 1
-        if still == 2:
+        may = F.pmod(F.xxhash64("g", "u", F.lit(turn)), F.lit(2)) == 0
+        after = cut_lineage(best.select("g", "u", "k", "m", F.when(may, F.col("best")).otherwise(F.col("own")).alias("c"), (F.col("best") != F.col("own")).alias("wants")))
+        label = after.drop("wants")
+        if after.where("wants").isEmpty():
             break
+    else:
+        warnings.warn(f"communities still move after {rounds} rounds", stacklevel=2)
     first = label.groupBy("g", "c").agg(F.min("u").alias("least"))
     number = first.withColumn("community", F.dense_rank().over(Window.partitionBy("g").orderBy("least")) - 1)
     return label.join(number, ["g", "c"]).select(F.col("g").alias(group), F.col("u").alias("node"), "community")
-
-
-def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """``(node, community)`` of undirected pairs by joins only: each node takes the heaviest label around it.
-
-    Ties go to the smallest label.  For graphs that no task can hold.
-    """
-    both = cut_lineage(pairs.where("u <> v").select("u", "v", "w").unionByName(pairs.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
-    labels = cut_lineage(both.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct())
-    for _ in range(rounds):
-        votes = both.join(labels.toDF("v", "label"), "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("u").agg(F.max(F.struct("w")).alias("m"))
-        after = votes.join(best, "u").where(F.col("w") == F.col("m.w")).groupBy("u").agg(F.min("label").alias("label"))
-        fresh = cut_lineage(labels.join(after.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "community").alias("community")))
-        if fresh.join(labels, ["node", "community"], "left_anti").isEmpty():
-            return fresh
-        labels = fresh
-    return labels

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import last_segment, normalise_path, package_of
-from codeloom.functions.text import STOP_WORDS, bm25, identifier_tokens
+from codeloom.functions.text import STOP_WORDS, bm25_of_postings, identifier_tokens, postings
+from codeloom.operators.cdc import set_flag, upsert
 from codeloom.operators.graph import communities, reach, weakest_link_paths
 from codeloom.operators.rank import cosine, latest_per_key, mode_per_group, reciprocal_rank_fusion, top_k
 from codeloom.plans.indexing import extract_files, facts
@@ -20,6 +22,8 @@ from codeloom.session import cut_lineage, table
 
 FUNCTIONS = ("func", "method", "hook", "component")
 EMBEDDED_KINDS = ("func", "method", "interface")
+#: Characters of documentation in a result list.
+DOC_CHARS = 100
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
@@ -35,6 +39,7 @@ class CodeIndex:
     interface_impls: DataFrame
     symbol_embeddings: DataFrame | None = None
     extracted: DataFrame | None = None
+    word_index: tuple[DataFrame, DataFrame] | None = None
     _facts: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
@@ -43,12 +48,16 @@ class CodeIndex:
         names = ("repositories", "files", "symbols", "function_calls", "interface_impls", "symbol_embeddings")
         return cls(sources=table(spark, directory, "source_file"), **{n: table(spark, directory, n) for n in names})
 
-    def fact(self, name: str) -> DataFrame:
-        """A table extracted from the texts, computed once: imports, api_endpoints, type_usages and so on."""
+    def nested(self) -> DataFrame:
+        """Everything extracted from the texts, one row per file, computed once."""
         if self.extracted is None:
             self.extracted = cut_lineage(extract_files(self.sources))
+        return self.extracted
+
+    def fact(self, name: str) -> DataFrame:
+        """A table extracted from the texts: imports, api_endpoints, type_usages and so on."""
         if name not in self._facts:
-            self._facts[name] = facts(self.extracted, name)
+            self._facts[name] = facts(self.nested(), name)
         return self._facts[name]
 
     def placed(self, rows: DataFrame) -> DataFrame:
@@ -81,18 +90,24 @@ def call_edges(ix: CodeIndex, min_confidence: float = 0.0) -> DataFrame:
 # --- search -------------------------------------------------------------------
 
 
-def _documents(ix: CodeIndex, kind: str | None) -> DataFrame:
-    rows = ix.symbols if kind is None else ix.symbols.where(F.col("kind") == kind)
+def build_word_index(ix: CodeIndex) -> tuple[DataFrame, DataFrame]:
+    """Postings of the symbols' words ``(token, id, n, length)`` and their figures, to be stored with the index."""
     text = F.concat_ws(" ", "name", "qualified_name", "signature", "doc_comment")
-    return rows.select("id", F.array_join(identifier_tokens(text), " ").alias("text"))
+    return postings(ix.symbols.select("id", text.alias("text")), "id", identifier_tokens("text"))
 
 
 def keyword_search(ix: CodeIndex, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
-    """Symbols that hold every word of the query, best first: ``(id, score, rank)``."""
-    terms = [t for t in pd.Series([query]).str.lower().str.findall(r"[^\W_]+").iloc[0] if t not in STOP_WORDS]
+    """Symbols that hold every word of the query, best first: ``(id, score, rank)``.
+
+    Reads the postings of the words in ``word_index``; without one they are derived.
+    Rarity and length count over all symbols, of whatever kind.
+    """
+    terms = [t for t in re.findall(r"[^\W_]+", query.lower()) if t not in STOP_WORDS]
     if not terms:
         return ix.symbols.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
-    scored = bm25(_documents(ix, kind), "id", "text", terms).withColumn("score", F.round("score", 6))
+    scored = bm25_of_postings(*(ix.word_index or build_word_index(ix)), "id", terms).withColumn("score", F.round("score", 6))
+    if kind is not None:
+        scored = scored.join(ix.symbols.where(F.col("kind") == kind).select("id"), "id", "left_semi")
     return top_k(scored, limit, F.desc("score"), F.asc("id"))
 
 
@@ -124,7 +139,10 @@ def semantic_search(ix: CodeIndex, query: str, limit: int = 20, kind: str | None
 
 
 def search_code(ix: CodeIndex, query: str, limit: int = 20, kind: str | None = None, mode: str = "hybrid", embedder: Embedder | None = None) -> DataFrame:
-    """Symbols for a query by keyword, by vector or by both fused; without vectors by keyword."""
+    """Symbols for a query by keyword, by vector or by both fused; without vectors by keyword.
+
+    Results come with the first ``DOC_CHARS`` characters of their documentation and the code at their place.
+    """
     if mode == "keyword" or ix.symbol_embeddings is None:
         found = keyword_search(ix, query, limit, kind).select("id", "score")
     elif mode == "semantic":
@@ -132,16 +150,20 @@ def search_code(ix: CodeIndex, query: str, limit: int = 20, kind: str | None = N
     else:
         legs = [keyword_search(ix, query, 2 * limit, kind), semantic_search(ix, query, 2 * limit, kind, embedder)]
         found = reciprocal_rank_fusion(legs, "id", limit)
-    return ix.placed(found.join(ix.symbols, "id")).select("id", "score", "kind", "name", "qualified_name", "signature", "file", "line", "repo_name").orderBy(F.desc("score"), "id")
+    doc = F.when(F.length("doc_comment") > DOC_CHARS, F.concat(F.left("doc_comment", F.lit(DOC_CHARS)), F.lit("..."))).otherwise(F.col("doc_comment"))
+    rows = with_snippets(ix, ix.placed(found.join(ix.symbols, "id")))
+    return rows.select("id", "score", "kind", "name", "qualified_name", "signature", doc.alias("doc"), "file", "line", "repo_name", "snippet").orderBy(F.desc("score"), "id")
 
 
 def find_symbol(ix: CodeIndex, name: str, kind: str | None = None, limit: int = 10) -> DataFrame:
-    """Symbols by name: exact first, then those whose words match."""
+    """Symbols by name: exact ones first (``match`` 0), then those whose words match (1), each by id."""
     exact = ix.symbols.where(F.lower("name") == name.lower())
     exact = exact if kind is None else exact.where(F.col("kind") == kind)
-    words = keyword_search(ix, name, limit, kind).select("id").join(ix.symbols, "id").withColumn("n", F.lit(1))
-    both = exact.withColumn("n", F.lit(0)).unionByName(words).dropDuplicates(["id"])
-    return ix.placed(both.orderBy("n", "id").limit(limit)).select("id", "kind", "name", "qualified_name", "signature", "file", "line", "doc_comment").orderBy("id")
+    words = keyword_search(ix, name, limit, kind).select("id").join(ix.symbols, "id").withColumn("match", F.lit(1))
+    both = exact.withColumn("match", F.lit(0)).unionByName(words)
+    best = both.withColumn("match", F.min("match").over(Window.partitionBy("id"))).dropDuplicates(["id"])
+    rows = with_snippets(ix, ix.placed(best.orderBy("match", "id").limit(limit)))
+    return rows.select("match", "id", "kind", "name", "qualified_name", "signature", "receiver", "file", "line", "doc_comment", "snippet").orderBy("match", "id")
 
 
 def get_file_symbols(ix: CodeIndex, path: str) -> DataFrame:
@@ -150,16 +172,33 @@ def get_file_symbols(ix: CodeIndex, path: str) -> DataFrame:
     return ix.symbols.join(files, "file_id", "left_semi").select("kind", "name", "qualified_name", "signature", "line").orderBy("line", "name", "kind")
 
 
-def snippet(ix: CodeIndex, symbol_id: int, most: int = 12) -> DataFrame:
-    """``(line, text)`` from a symbol's line on, until its braces close or ``most`` lines are shown."""
-    at = ix.symbols.where(F.col("id") == symbol_id).select("file_id", F.col("line").alias("first"))
-    lines = ix.sources.join(at, "file_id").select("first", F.posexplode(F.split("content", r"\r?\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
-    near = lines.where((F.col("line") >= F.col("first")) & (F.col("line") < F.col("first") + most))
-    order = Window.orderBy("line")
-    net = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
-    depth = near.withColumn("depth", F.sum(net).over(order)).withColumn("opened", F.max(F.col("text").contains("{").cast("int")).over(order))
-    closed = F.coalesce(F.max(((F.col("opened") == 1) & (F.col("depth") <= 0)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return depth.withColumn("closed", closed).where("closed = 0").select("line", "text").orderBy("line")
+def snippet(text: Column, line: Column, most: int = 12) -> Column:
+    """Code at a symbol's line: from the line before it until its braces close, at most ``most`` lines.
+
+    Lines are indented by two blanks; where open braces are cut off, ``...`` follows.
+    Null where the text has no such line.
+    """
+    lines, at = F.split(text, r"\r?\n"), F.greatest(line, F.lit(1))
+    net = lambda t: F.length(F.regexp_replace(t, r"[^{]", "")) - F.length(F.regexp_replace(t, r"[^}]", ""))
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("end"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth, opened, n = s["depth"] + net(t), s["opened"] | t.contains("{"), s["n"] + 1
+        after = F.struct(n.alias("n"), depth.alias("depth"), opened.alias("opened"), F.when(opened & (depth <= 0), n).otherwise(0).alias("end"))
+        return F.when(s["end"] > 0, s).otherwise(after)
+
+    scan = F.aggregate(F.slice(lines, at, F.lit(most)), state, step)
+    first = F.greatest(at - 1, F.lit(1))
+    last = F.least(first + most - 1, F.when(scan["end"] > 0, at + scan["end"] - 1).otherwise(F.size(lines)))
+    shown = F.transform(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), lambda t: F.concat(F.lit("  "), t, F.lit("\n")))
+    cut = F.when((last < F.size(lines)) & scan["opened"] & (scan["depth"] > 0), F.lit("  ...\n")).otherwise(F.lit(""))
+    return F.when((line >= 1) & (line <= F.size(lines)), F.concat(F.array_join(shown, ""), cut))
+
+
+def with_snippets(ix: CodeIndex, rows: DataFrame, most: int = 12) -> DataFrame:
+    """Rows with ``file_id`` and ``line`` and the code there as ``snippet``; meant for result lists, not whole tables."""
+    own = ix.sources.select("file_id", F.col("content").alias("__content"))
+    return rows.join(own, "file_id", "left").withColumn("snippet", snippet(F.col("__content"), F.col("line"), most)).drop("__content")
 
 
 # --- calls --------------------------------------------------------------------
@@ -176,6 +215,28 @@ def _repo_edges(ix: CodeIndex, edges: DataFrame, repo: str | None) -> DataFrame:
     return edges.join(ix.repositories.where(F.col("name") == repo).select(F.col("id").alias("repo_id")), "repo_id", "left_semi")
 
 
+def implementing_methods(ix: CodeIndex) -> DataFrame:
+    """``(interface_name, method_name, qualified, confidence)``: methods by the interface they implement."""
+    return ix.interface_impls.select("interface_name", "method_name", F.concat_ws(".", "struct_name", "method_name").alias("qualified"), "confidence").where("struct_name is not null and method_name is not null")
+
+
+def siblings(ix: CodeIndex, targets: DataFrame, same_method: bool = True) -> DataFrame:
+    """``(target)``: methods that implement an interface which a target implements; with ``same_method`` of the same name only."""
+    impl = implementing_methods(ix).select("interface_name", "method_name", "qualified").distinct()
+    own = impl.join(targets.select(F.col("target").alias("qualified")), "qualified", "left_semi")
+    on = ["interface_name", "method_name"] if same_method else ["interface_name"]
+    return impl.join(own.select(*on).distinct(), on).select(F.col("qualified").alias("target")).distinct()
+
+
+def impact_callers(ix: CodeIndex, name: str, depth: int = 5, repo: str | None = None, min_confidence: float = 0.0, same_method: bool = True) -> DataFrame:
+    """``(caller, depth, confidence)``: all callers of a function, and those of its siblings one step further."""
+    edges = cut_lineage(_repo_edges(ix, call_edges(ix, min_confidence), repo))
+    targets = cut_lineage(_targets(ix, name))
+    direct = weakest_link_paths(edges, targets, "src", "dst", "confidence", depth)
+    via = weakest_link_paths(edges, siblings(ix, targets, same_method), "src", "dst", "confidence", depth).withColumn("depth", F.col("depth") + 1)
+    return direct.unionByName(via).groupBy(F.col("node").alias("caller"), "depth").agg(F.round(F.max("confidence"), 4).alias("confidence"))
+
+
 def find_callers(ix: CodeIndex, name: str, depth: int = 5, repo: str | None = None, min_confidence: float = 0.0, same_method: bool = True, limit: int | None = 50) -> DataFrame:
     """Direct and indirect callers ``(caller, depth, confidence)``, surest first.
 
@@ -183,39 +244,64 @@ def find_callers(ix: CodeIndex, name: str, depth: int = 5, repo: str | None = No
     further; with ``same_method`` only methods of the same name are siblings.
     Without any caller, calls by that name count with confidence 0.3.
     """
-    edges = cut_lineage(_repo_edges(ix, call_edges(ix, min_confidence), repo))
-    targets = cut_lineage(_targets(ix, name))
-    direct = weakest_link_paths(edges, targets, "src", "dst", "confidence", depth)
-    impl = ix.interface_impls.select("interface_name", F.col("struct_name").alias("qualified"), "method_name")
-    own = impl.join(targets.select(F.col("target").alias("qualified")), "qualified", "left_semi")
-    on = ["interface_name", "method_name"] if same_method else ["interface_name"]
-    siblings = impl.join(own.select(*on).distinct(), on).select(F.col("qualified").alias("target")).distinct().join(targets, "target", "left_anti")
-    via = weakest_link_paths(edges, siblings, "src", "dst", "confidence", depth).withColumn("depth", F.col("depth") + 1)
-    found = direct.unionByName(via).groupBy(F.col("node").alias("caller"), "depth").agg(F.max("confidence").alias("confidence"))
+    found = cut_lineage(impact_callers(ix, name, depth, repo, min_confidence, same_method))
     guessed = (
         _repo_edges(ix, ix.function_calls.join(ix.files.select(F.col("id").alias("file_id"), "repo_id"), "file_id"), repo)
         .where(F.trim("callee_name") == name)
         .select(F.col("caller_qualified_name").alias("caller"), F.lit(1).alias("depth"), F.lit(0.3).alias("confidence"))
         .distinct()
     )
-    found = cut_lineage(found)
     rows = guessed if found.isEmpty() else found
-    ordered = rows.withColumn("confidence", F.round("confidence", 4)).orderBy(F.desc("confidence"), "depth", "caller")
+    ordered = rows.orderBy(F.desc("confidence"), "depth", "caller")
     return ordered.limit(limit) if limit else ordered
 
 
+def find_callers_by_text(ix: CodeIndex, name: str, each: int = 30) -> DataFrame:
+    """``(asked, id, kind, qualified_name, line)``: where no call graph is wanted, symbols found by the name's words.
+
+    A name ``Interface.Method`` also asks for the methods that implement it.  Each
+    name gives its best ``each`` symbols; the same place comes once.
+    """
+    names = [name]
+    if "." in name:
+        interface, method = name.split(".")[-2:]
+        impl = implementing_methods(ix).where(F.col("interface_name").ilike(f"%{interface}%") & (F.col("method_name") == method))
+        names += [r[0] for r in impl.select("qualified").distinct().orderBy("qualified").limit(each).collect()]
+    found = None
+    for n, asked in enumerate(dict.fromkeys(names)):
+        hits = keyword_search(ix, asked, each).select("id", "rank", F.lit(n).alias("n"), F.lit(asked).alias("asked"))
+        found = hits if found is None else found.unionByName(hits)
+    rows = found.join(ix.symbols.select("id", "kind", "qualified_name", "line"), "id")
+    first = latest_per_key(rows, ["qualified_name", "line"], [F.asc("n"), F.asc("rank"), F.asc("id")])
+    return first.orderBy("n", "rank", "id").select("asked", "id", "kind", "qualified_name", "line")
+
+
+def served_by(ix: CodeIndex, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Endpoints ``(method, path)`` whose handler is one of ``names (handler)``, and components ``(component)`` that call their paths."""
+    served = ix.fact("api_endpoints").withColumn("handler", last_segment("handler_name")).join(names, "handler", "left_semi")
+    paths = served.select(normalise_path("path").alias("api_path")).distinct()
+    return served.select("method", "path").distinct(), ix.fact("component_api_calls").join(paths, "api_path", "left_semi").select("component").distinct()
+
+
 def analyze_impact(ix: CodeIndex, name: str, depth: int = 5, repo: str | None = None) -> DataFrame:
-    """Callers of a symbol by bucket (direct, transitive, name match), and the endpoints and components they serve."""
+    """``(bucket, name, depth)``: callers of a symbol (direct, transitive, name_match), and the endpoints and components they serve.
+
+    A caller counts once, by its shortest way.
+    """
     callers = cut_lineage(find_callers(ix, name, depth, repo, limit=None))
     bucket = F.when(F.col("confidence") <= 0.3, "name_match").when(F.col("depth") == 1, "direct").otherwise("transitive")
     rows = callers.groupBy("caller").agg(F.min("depth").alias("depth"), F.max("confidence").alias("confidence"))
     hit = rows.select(bucket.alias("bucket"), F.col("caller").alias("name"), "depth")
     names = rows.select(last_segment("caller").alias("handler")).unionByName(ix.symbols.where(F.col("name") == name).select(F.col("name").alias("handler"))).distinct()
-    served = ix.fact("api_endpoints").withColumn("handler", last_segment("handler_name")).join(names, "handler", "left_semi")
-    endpoints = served.select(F.lit("endpoint").alias("bucket"), F.concat_ws(" ", "method", "path").alias("name"), F.lit(None).cast("int").alias("depth")).distinct()
-    paths = served.select(normalise_path("path").alias("api_path")).distinct()
-    components = ix.fact("component_api_calls").join(paths, "api_path", "left_semi").select(F.lit("component").alias("bucket"), F.col("component").alias("name"), F.lit(None).cast("int").alias("depth")).distinct()
-    return hit.unionByName(endpoints).unionByName(components)
+    endpoints, components = served_by(ix, names)
+    none = F.lit(None).cast("int").alias("depth")
+    return hit.unionByName(endpoints.select(F.lit("endpoint").alias("bucket"), F.concat_ws(" ", "method", "path").alias("name"), none)).unionByName(components.select(F.lit("component").alias("bucket"), F.col("component").alias("name"), none))
+
+
+def impact_totals(impact: DataFrame) -> DataFrame:
+    """One row ``(functions, endpoints, components)`` of an impact list."""
+    count = lambda *b: F.count_if(F.col("bucket").isin(*b))
+    return impact.agg(count("direct", "transitive", "name_match").alias("functions"), count("endpoint").alias("endpoints"), count("component").alias("components"))
 
 
 def trace_type_flow(ix: CodeIndex, type_name: str, direction: str = "both", steps: int = 3) -> DataFrame:
@@ -308,13 +394,18 @@ def entry_points(ix: CodeIndex) -> DataFrame:
     return handlers.unionByName(topics).unionByName(mains).where("entry is not null").distinct()
 
 
-def detect_processes(ix: CodeIndex, depth: int = 15, steps: int = 100) -> DataFrame:
+def detect_processes(ix: CodeIndex, depth: int = 15, steps: int = 100, more: dict[str, str] | None = None) -> DataFrame:
     """``(name, entry, step, symbol_name, depth)``: the functions each entry point reaches, nearest first.
 
-    All entries are traced in one job.  An entry that no function has is a process of one step.
+    All entries are traced in one job, each until it has ``steps`` functions.  An
+    entry that no function has is a process of one step.  ``more`` adds entry points
+    of other kinds, by name.
     """
-    entries = cut_lineage(entry_points(ix))
-    seen = reach(call_edges(ix).select("src", "dst"), entries.select(F.col("entry").alias("start")), "src", "dst", depth, carry_start=True)
+    found = entry_points(ix).select("name", "entry")
+    if more:
+        found = found.unionByName(found.sparkSession.createDataFrame(list(more.items()), "name string, entry string"))
+    entries = cut_lineage(found)
+    seen = reach(call_edges(ix).select("src", "dst"), entries.select(F.col("entry").alias("start")), "src", "dst", depth, carry_start=True, most=steps)
     order = Window.partitionBy("start").orderBy("depth", "node")
     numbered = seen.withColumn("step", F.row_number().over(order) - 1).where(F.col("step") <= steps)
     names = entries.groupBy("entry").agg(F.min("name").alias("name"))
@@ -335,12 +426,18 @@ def get_process_flow(processes: DataFrame, name: str) -> DataFrame:
 def detect_communities(ix: CodeIndex) -> DataFrame:
     """``(repo_id, community, name, member_count, node)``: groups of functions that call each other.
 
-    A community is named after the package most of its members have; repeats get
-    a number, and single functions are no community.
+    A community is named after the package most of its members have and, where
+    there is one, the type most of its methods belong to; repeats get a number, and
+    single functions are no community.
     """
     member = cut_lineage(communities(call_edges(ix), "repo_id", "src", "dst"))
     sizes = member.groupBy("repo_id", "community").agg(F.count(F.lit(1)).alias("member_count")).where("member_count > 1")
-    names = mode_per_group(member.withColumn("package", package_of("node")), ["repo_id", "community"], "package").select("repo_id", "community", "package")
+    key = ["repo_id", "community"]
+    bare = F.when(F.col("node").contains("."), F.regexp_replace(package_of("node"), r"^\(?\*?", ""))
+    packages = mode_per_group(member.withColumn("package", bare), key, "package").select(*key, "package")
+    receivers = mode_per_group(member.withColumn("receiver", F.nullif(F.regexp_extract("node", r"\(\*?(\w+)\)", 1), F.lit(""))), key, "receiver").select(*key, "receiver")
+    base = F.when(F.col("receiver").isNotNull() & ~F.col("receiver").eqNullSafe(F.col("package")), F.concat(F.coalesce("package", F.lit("")), F.lit("/"), "receiver")).otherwise(F.col("package"))
+    names = packages.join(receivers, key, "full_outer").select(*key, base.alias("package"))
     nth = F.row_number().over(Window.partitionBy("repo_id", "package").orderBy("community"))
     labelled = sizes.join(names, ["repo_id", "community"], "left").withColumn("package", F.coalesce("package", F.concat(F.lit("cluster-"), "community"))).withColumn("n", nth)
     named = labelled.withColumn("name", F.when(F.col("n") > 1, F.concat("package", F.lit("-"), "n")).otherwise(F.col("package"))).select("repo_id", "community", "name", "member_count")
@@ -364,39 +461,75 @@ def latest_members(found: DataFrame, shown: int) -> DataFrame:
 
 
 def build_graph(ix: CodeIndex) -> tuple[DataFrame, DataFrame]:
-    """Vertices ``(id, label, name)`` and edges ``(src, dst, rel, confidence)``; ids hold the repository."""
-    placed = ix.placed(ix.symbols).where("qualified_name is not null")
+    """Vertices ``(id, label, name)`` and edges ``(src, dst, rel, confidence)``; ids of functions and files hold the repository.
+
+    Calls and implementations join functions that are there; packages, types,
+    services, endpoints and components become vertices where something refers to
+    them, so every edge has both ends.
+    """
     key = lambda label, *parts: F.concat_ws(":", F.lit(label), *parts)
+    vertex = lambda df, label, name, *parts: df.select(key(label.lower(), *parts).alias("id"), F.lit(label).alias("label"), name.alias("name"))
+    placed = ix.placed(ix.symbols).where("qualified_name is not null and repo_name is not null")
     is_function = F.col("kind").isin(*FUNCTIONS)
     nodes = placed.select(key("symbol", "repo_name", "qualified_name").alias("id"), F.when(is_function, "Function").otherwise("Type").alias("label"), F.col("qualified_name").alias("name"), "file", "repo_name")
-    file_rows = ix.files.join(ix.repositories.select(F.col("id").alias("repo_id"), F.col("name").alias("repo_name")), "repo_id").where("deleted_at is null")
-    files = file_rows.select(key("file", "repo_name", "path").alias("id"), F.lit("File").alias("label"), F.col("path").alias("name"))
-    packages = file_rows.where(F.coalesce("module", F.lit("")) != "").select(key("package", "module").alias("id"), F.lit("Package").alias("label"), F.col("module").alias("name"))
-    ends = ix.fact("api_endpoints").select(key("endpoint", normalise_path("path")).alias("id"), F.lit("Endpoint").alias("label"), normalise_path("path").alias("name"))
-    parts = ix.fact("component_api_calls").select(key("component", "repo", "component").alias("id"), F.lit("Component").alias("label"), F.col("component").alias("name"))
-    services = ix.repositories.select(key("service", "name").alias("id"), F.lit("Service").alias("label"), "name")
+    functions = placed.where(is_function).select("repo_name", "qualified_name").distinct()
+    files = ix.files.join(ix.repositories.select(F.col("id").alias("repo_id"), F.col("name").alias("repo_name")), "repo_id")
+    packaged = files.where(F.coalesce("module", F.lit("")) != "")
+    imports, calls_api, links = ix.placed(ix.fact("imports")).where("repo_name is not null"), ix.fact("component_api_calls"), ix.fact("service_connections")
+    general = normalise_path("path")
+    repo = ix.repositories.select(F.col("id").alias("repo_id"), F.col("name").alias("repo_name"))
+    calls = call_edges(ix).join(repo, "repo_id").join(functions.withColumnRenamed("qualified_name", "src"), ["repo_name", "src"], "left_semi")
+    impls = ix.placed(ix.interface_impls).withColumn("qualified_name", F.concat_ws(".", "struct_name", "method_name")).join(functions, ["repo_name", "qualified_name"], "left_semi").where("interface_name is not null")
+    flows = ix.fact("type_usages").withColumnRenamed("repo", "repo_name").join(functions.withColumnRenamed("qualified_name", "symbol_name"), ["repo_name", "symbol_name"], "left_semi")
+    handlers = placed.where(is_function).select("file_id", F.col("name").alias("h"), "qualified_name", "repo_name").distinct()
+    handled = ix.fact("api_endpoints").withColumn("h", last_segment("handler_name")).join(handlers, ["file_id", "h"])
+    name = F.col
     vertices = nodes.select("id", "label", "name")
-    for more in (files, packages, ends, parts, services):
+    for more in (
+        vertex(files, "File", name("path"), "repo_name", "path"),
+        vertex(packaged, "Package", name("module"), "module"),
+        vertex(imports, "Package", name("import_path"), "import_path"),
+        vertex(ix.fact("api_endpoints"), "Endpoint", general, general),
+        vertex(calls_api, "Endpoint", name("api_path"), "api_path"),
+        vertex(calls_api, "Component", name("component"), "repo", "component"),
+        vertex(ix.repositories, "Service", name("name"), "name"),
+        vertex(links, "Service", name("repo"), "repo"),
+        vertex(links, "Service", name("target"), "target"),
+        vertex(impls, "Type", name("interface_name"), "interface_name"),
+        vertex(flows, "Type", name("type_name"), "type_name"),
+    ):
         vertices = vertices.unionByName(more)
-    repo = ix.repositories.select(F.col("id").alias("repo_id"), F.col("name").alias("repo_name"))
-    edge = lambda df, src, dst, rel, confidence=F.lit(1.0): df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), confidence.alias("confidence"))
-    edges = edge(call_edges(ix).join(repo, "repo_id"), key("symbol", "repo_name", "src"), key("symbol", "repo_name", "dst"), "CALLS", F.col("confidence"))
-    more_edges = (
-        edge(nodes, key("file", "repo_name", "file"), F.col("id"), "DEFINES"),
-        edge(file_rows.where(F.coalesce("module", F.lit("")) != ""), key("package", "module"), key("file", "repo_name", "path"), "DEFINES"),
-        edge(ix.placed(ix.fact("imports")), key("file", "repo_name", "file"), key("package", "import_path"), "IMPORTS"),
-        edge(ix.fact("component_api_calls"), key("component", "repo", "component"), key("endpoint", "api_path"), "CALLS_API"),
-        edge(ix.fact("service_connections"), key("service", "repo"), key("service", "target"), "CONNECTS"),
-        edge(ix.placed(ix.interface_impls), key("symbol", "repo_name", "struct_name"), key("symbol", "repo_name", "interface_name"), "IMPLEMENTS", F.col("confidence").cast("double")),
-        edge(ix.fact("type_usages").where(F.col("direction") == "input"), key("symbol", "repo", "symbol_name"), key("type", "type_name"), "ACCEPTS"),
-        edge(ix.fact("type_usages").where(F.col("direction") == "output"), key("symbol", "repo", "symbol_name"), key("type", "type_name"), "RETURNS"),
-        edge(ix.fact("api_endpoints").join(ix.symbols.where(is_function).select("file_id", F.col("name").alias("h"), "qualified_name"), "file_id").where(F.col("h") == last_segment("handler_name")), key("symbol", "repo", "qualified_name"), key("endpoint", normalise_path("path")), "HANDLES"),
-    )
-    for more in more_edges:
+    edge = lambda df, src, dst, rel, confidence=F.lit(1.0): df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), confidence.cast("double").alias("confidence"))
+    function = key("symbol", "repo_name", "qualified_name")
+    edges = edge(calls, key("symbol", "repo_name", "src"), key("symbol", "repo_name", "dst"), "CALLS", name("confidence"))
+    for more in (
+        edge(nodes, key("file", "repo_name", "file"), name("id"), "DEFINES"),
+        edge(packaged, key("package", "module"), key("file", "repo_name", "path"), "DEFINES"),
+        edge(imports, key("file", "repo_name", "file"), key("package", "import_path"), "IMPORTS"),
+        edge(calls_api, key("component", "repo", "component"), key("endpoint", "api_path"), "CALLS_API"),
+        edge(links, key("service", "repo"), key("service", "target"), "CONNECTS"),
+        edge(impls, function, key("type", "interface_name"), "IMPLEMENTS", name("confidence")),
+        edge(flows.where("direction = 'input'"), key("symbol", "repo_name", "symbol_name"), key("type", "type_name"), "ACCEPTS"),
+        edge(flows.where("direction = 'output'"), key("symbol", "repo_name", "symbol_name"), key("type", "type_name"), "RETURNS"),
+        edge(handled, function, key("endpoint", general), "HANDLES"),
+    ):
         edges = edges.unionByName(more)
     return vertices.dropDuplicates(["id"]), edges.groupBy("src", "dst", "rel").agg(F.max("confidence").alias("confidence"))
 
 
+def graph_counters(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(part, name, n)``: vertices per label and edges per relation."""
+    part = lambda df, kind, column: df.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("part"), "name", "n")
+    return part(vertices, "vertex", "label").unionByName(part(edges, "edge", "rel"))
+
+
+def dangling_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with an end that is no vertex; there should be none."""
+    ids = vertices.select("id")
+    ends = edges.select("rel", F.explode(F.array("src", "dst")).alias("id"))
+    return ends.join(ids, "id", "left_anti").groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+
+
 def generate_embeddings(ix: CodeIndex, embedder: Embedder, force: bool = False, batch: int = 32) -> DataFrame:
     """``(symbol_id, embedding)`` of functions and interfaces without a vector (all with ``force``), in batches."""
     rows = ix.symbols.where(F.col("kind").isin(*EMBEDDED_KINDS))
@@ -413,6 +546,24 @@ def generate_embeddings(ix: CodeIndex, embedder: Embedder, force: bool = False,
     return ix.placed(rows).select("id", text.alias("text")).mapInPandas(run, "symbol_id long, embedding array<float>")
 
 
+def embed_index(ix: CodeIndex, embedder: Embedder, now: Column | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Symbols and symbol_embeddings after embedding what has no vector: to be written in place of the old ones.
+
+    Fresh vectors replace those of the same symbol, with the place the symbol has
+    (line 0, module as service), and their symbols get ``embedded_at``.
+    """
+    now = F.current_timestamp() if now is None else now
+    made = cut_lineage(generate_embeddings(ix, embedder, force))
+    known = ix.symbols.join(made.select(F.col("symbol_id").alias("id")), "id", "left_semi")
+    module = ix.files.select(F.col("id").alias("file_id"), F.coalesce("module", F.lit("")).alias("service"))
+    place = ix.placed(known).join(module, "file_id", "left").select(F.col("id").alias("symbol_id"), "file", "kind", "name", "service", F.lit(0).alias("line"))
+    at = now.cast(ix.symbols.schema["embedded_at"].dataType)
+    rows = made.join(place, "symbol_id").withColumn("created_at", at)
+    old = ix.symbol_embeddings
+    vectors = rows if old is None else upsert(old, rows.select(*old.columns), ["symbol_id"])
+    return set_flag(ix.symbols, made, "symbol_id", "embedded_at", at, "id"), vectors
+
+
 def package_map(ix: CodeIndex, limit: int = 30) -> DataFrame:
     """Packages with the most symbols."""
     return ix.symbols.where("qualified_name like '%.%'").groupBy(package_of("qualified_name").alias("package")).agg(F.count(F.lit(1)).alias("n_symbols")).orderBy(F.desc("n_symbols"), "package").limit(limit)

@@ -3,7 +3,7 @@
 import random
 
 from codeloom.operators.components import connected_components
-from codeloom.operators.graph import communities, degrees, label_propagation, modularity, reach, two_hops, undirected, weakest_link_paths
+from codeloom.operators.graph import communities, degrees, modularity, reach, two_hops, undirected, weakest_link_paths
 
 EDGES = [("a", "b", 0.9), ("a", "c", 0.5), ("b", "d", 0.8), ("c", "d", 0.9), ("d", "a", 0.7), ("d", "d", 1.0), ("b", "d", 0.6), ("x", "y", 1.0), (None, "a", 1.0)]
 
@@ -60,8 +60,21 @@ def test_two_cliques_split(spark):
     found = communities(spark.createDataFrame(rows, "repo int, s string, d string"), "repo", "s", "d")
     label = {r["node"]: r["community"] for r in found.collect()}
     assert len({label[n] for n in "abcd"}) == 1 and len({label[n] for n in "wxyz"}) == 1 and label["a"] != label["z"]
-    spread = label_propagation(undirected(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "s string, d string"), "s", "d"))
-    assert {r["node"]: r["community"] for r in spread.collect()}["x"] == "x"
+
+
+def test_reach_stops_at_the_limit_of_a_start(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("x", "y")], "src string, dst string")
+    starts = spark.createDataFrame([("n0",), ("x",), (None,)], "start string")
+    got = reach(chain, starts, "src", "dst", 9, carry_start=True, most=3).collect()
+    assert sorted(r["depth"] for r in got if r["start"] == "n0") == [0, 1, 2, 3] and {r["node"] for r in got if r["start"] == "x"} == {"x", "y"}
+
+
+def test_communities_go_on_until_nothing_moves(spark):
+    # A long chain of cliques needs more rounds than a few.
+    rows = [(1, f"{g:02d}{a}", f"{g:02d}{b}") for g in range(12) for a in "abcde" for b in "abcde" if a < b] + [(1, f"{g:02d}e", f"{g + 1:02d}a") for g in range(11)]
+    found = communities(spark.createDataFrame(rows, "repo int, s string, d string"), "repo", "s", "d")
+    label = {r["node"]: r["community"] for r in found.collect()}
+    assert all(len({label[f"{g:02d}{a}"] for a in "abcde"}) == 1 for g in range(12))
 
 
 def test_two_hops(spark):

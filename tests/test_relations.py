@@ -78,5 +78,7 @@ def test_paths(spark):
     routes = {"app/index.tsx": "/", "app/(tabs)/home.tsx": "/home", "app/user/[id].tsx": "/user/:id", "app/_layout.tsx": None, "lib/x.tsx": None}
     df = spark.createDataFrame([(k, v) for k, v in routes.items()], "p string, want string").withColumn("got", expo_route("p"))
     assert all(r["got"] == r["want"] for r in df.collect())
-    hints = spark.createDataFrame([("src/UserController.java",), ("lib/x.go",)], "p string").select(framework_hint("p").alias("h")).collect()
-    assert hints[0]["h"]["framework"] == "spring_mvc" and hints[1]["h"] is None
+    want = {"app/views.py": ("django", 3.0), "app/api/urls.py": ("django", 2.0), "a/routers/x.py": ("fastapi", 2.5), "a\\routes\\x.PY": ("flask", 2.5), "a/api/x.py": ("python-api", 2.0), "a/api/__init__.py": None}
+    want |= {"x/controllers/A.java": ("spring", 3.0), "x/handler/A.java": ("spring", 2.5), "x/service/A.java": ("spring", 1.8), "x/resource/A.java": ("jax-rs", 3.0), "x/service/a.go": None, "src/UserController.java": None, "views.ts": None}
+    for r in spark.createDataFrame([(k,) for k in want], "p string").select("p", framework_hint("p").alias("h")).collect():
+        assert (tuple(r["h"]) if r["h"] else None) == want[r["p"]], r["p"]
