@@ -51,13 +51,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Bits of an estimated size from which on a checkpoint forgets it.
+SIZE_BITS = 60
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared checkpoint folder.
 
-    The result survives the loss of executors, unlike a local checkpoint.
+    The result survives the loss of executors, unlike a local checkpoint.  A
+    checkpoint keeps the size that was estimated for its plan, and joins multiply
+    sizes: over the rounds of an iteration the number doubles its digits until the
+    planner spends all its time on them.  An estimate that has become meaningless
+    is therefore dropped for Spark's default.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes()).bit_length() <= SIZE_BITS:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
 
 
 def default_parallelism(spark: SparkSession) -> int:
