@@ -1,21 +1,28 @@
 """References whose target record does not exist at the time of the reference.
 
 Two stages.  A blocked Bloom filter of all parent keys, built by ``bit_or``
-aggregation entirely in the JVM, has a size fixed by ``blocks`` and is therefore
-broadcast safely at any data size; a reference it rejects is an orphan without
-further work.  Only the references it lets through are checked exactly against
-the time intervals in which their target existed.
+aggregation entirely in the JVM, is sized from the number of keys up to a bound and
+is therefore broadcast safely at any data size; a reference it rejects is an orphan
+without further work.  Only the references it lets through are checked exactly
+against the time intervals in which their target existed.  Parents and references
+are read once each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of 256 bits in the filter: 2**16 blocks are a broadcast of at most 65,536 rows of 36 bytes.
-BLOOM_BLOCKS = 1 << 16
+from codeloom.session import cut_lineage
+
+#: Keys wanted per block of 256 bits: about one in 400 other keys passes then.
+BLOCK_KEYS = 16
+#: Blocks of the filter at most: a broadcast of 2**20 rows of 36 bytes serves 16 million keys at that rate.  Beyond, the
+#: filter keeps its size and lets more references through to the exact join (a third of the others at 100 million keys).
+MOST_BLOCKS = 1 << 20
 #: A key with more references than max(HOT_ROWS, references / HOT_SHARE) is salted; at most HOT_SHARE keys can be hot.
 HOT_ROWS = 50_000
 HOT_SHARE = 1_000
@@ -35,7 +42,12 @@ def _bit(key: Column, word: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key, F.lit(word)), F.lit(64)).cast("int"))
 
 
-def bloom_filter(parents: DataFrame, key: str, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+def blocks_for(keys: int) -> int:
+    """Blocks of a filter for that many keys: a power of two, ``MOST_BLOCKS`` at most."""
+    return min(MOST_BLOCKS, 1 << max(0, math.ceil(keys / BLOCK_KEYS) - 1).bit_length())
+
+
+def bloom_filter(parents: DataFrame, key: str, blocks: int) -> DataFrame:
     """Blocked Bloom filter of a 64-bit key column: one row per used block.
 
     Four bits are set in one 256-bit block per key.  The row count is at most
@@ -49,7 +61,7 @@ def bloom_filter(parents: DataFrame, key: str, blocks: int = BLOOM_BLOCKS) -> Da
     )
 
 
-def probe(refs: DataFrame, key: str, bloom: DataFrame, flag: str, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+def probe(refs: DataFrame, key: str, bloom: DataFrame, flag: str, blocks: int) -> DataFrame:
     """``refs`` with ``flag``: false if the key is certainly not a parent."""
     joined = refs.withColumn("__block", _block(F.col(key), blocks)).join(F.broadcast(bloom), "__block", "left")
     hit = F.lit(True)
@@ -92,7 +104,7 @@ def orphan_references(
     ref_time: str,
     parent_from: str,
     parent_to: str,
-    blocks: int = BLOOM_BLOCKS,
+    blocks: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows of ``refs`` for which no parent exists at their ``ref_time``.
@@ -102,7 +114,8 @@ def orphan_references(
     Returns ``ref_id`` and ``ref_time`` columns.  A reference with a null key part
     has no possible target and is an orphan, as is one without a time; drop such
     rows before if they do not count.  Repeated rows stay repeated.  With an empty
-    parent table every reference is an orphan.
+    parent table every reference is an orphan.  ``blocks`` is by default what the
+    number of parent lifetimes asks for.
 
     Hot keys: keys with more than ``hot_rows`` references are spread over salts,
     and only their few merged intervals are repeated per salt.
@@ -111,18 +124,15 @@ def orphan_references(
     complete = F.lit(True)
     for k in keys:
         complete = complete & F.col(k).isNotNull()
-    spans = merge_intervals(
-        parents.where(complete).select(*keys, F.col(parent_from).alias("__from"), F.col(parent_to).alias("__to")), keys, "__from", "__to"
-    )
-    bloom = bloom_filter(parents.where(complete).select(key.alias("__key")), "__key", blocks)
-    probed = probe(refs.select(*keys, *ref_id, ref_time, key.alias("__key")), "__key", bloom, "__maybe", blocks)
-    passed = F.col("__maybe") & complete & F.col(ref_time).isNotNull()
-    surely = probed.where(~passed).select(*ref_id, ref_time)
-    maybe = probed.where(passed)
+    spans = cut_lineage(merge_intervals(parents.where(complete).select(*keys, F.col(parent_from).alias("__from"), F.col(parent_to).alias("__to")), keys, "__from", "__to"))
+    blocks = blocks_for(spans.count()) if blocks is None else blocks
+    bloom = bloom_filter(spans.select(key.alias("__key")), "__key", blocks)
+    probed = probe(refs.select(*keys, *ref_id, ref_time, key.alias("__key")), "__key", bloom, "__hit", blocks)
+    probed = cut_lineage(probed.withColumn("__maybe", F.col("__hit") & complete & F.col(ref_time).isNotNull()).drop("__hit"))
+    surely, maybe = probed.where(~F.col("__maybe")).select(*ref_id, ref_time), probed.where("__maybe").drop("__maybe")
 
     counts = maybe.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
-    total = maybe.count()
-    limit = max(hot_rows, total // HOT_SHARE)
+    limit = max(hot_rows, maybe.count() // HOT_SHARE)
     hot = counts.where(F.col("__n") > limit).select("__key", F.ceil(F.col("__n") / F.lit(limit)).cast("int").alias("__salts"))
     salted = maybe.join(F.broadcast(hot), "__key", "left").withColumn(
         "__salt", F.pmod(F.xxhash64(*ref_id, F.lit(7)), F.coalesce("__salts", F.lit(1))).cast("int")

@@ -3,7 +3,7 @@
 import datetime as dt
 import random
 
-from codeloom.operators.orphans import bloom_filter, merge_intervals, orphan_references, orphan_report, probe
+from codeloom.operators.orphans import MOST_BLOCKS, blocks_for, bloom_filter, merge_intervals, orphan_references, orphan_report, probe
 from pyspark.sql import functions as F
 
 D = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
@@ -54,3 +54,14 @@ def test_merged_intervals(spark):
 def test_report(spark):
     df = spark.createDataFrame([("t", D(1)), ("t", D(2)), ("t", D(40)), ("u", None)], "table_name string, at timestamp")
     assert {tuple(r) for r in orphan_report(df, "table_name", "at").collect()} == {("t", "2024-01", 2), ("t", "2024-02", 1), ("u", None, 1)}
+
+
+def test_the_filter_still_rejects_with_ten_million_keys(spark):
+    n = 10_000_000
+    blocks = blocks_for(n)
+    assert blocks == MOST_BLOCKS == blocks_for(10**12) and blocks_for(0) == 1 and blocks_for(17) == 2
+    key = F.xxhash64("id").alias("key")
+    bloom = bloom_filter(spark.range(n).select(key), "key", blocks)
+    others = probe(spark.range(n, n + 200_000).select(key), "key", bloom, "maybe", blocks)
+    assert others.where("maybe").count() < 2_000
+    assert probe(spark.range(0, n, 1000).select(key), "key", bloom, "maybe", blocks).where("not maybe").count() == 0
