@@ -127,7 +127,7 @@ def orphan_references(
     spans = cut_lineage(merge_intervals(parents.where(complete).select(*keys, F.col(parent_from).alias("__from"), F.col(parent_to).alias("__to")), keys, "__from", "__to"))
     blocks = blocks_for(spans.count()) if blocks is None else blocks
     bloom = bloom_filter(spans.select(key.alias("__key")), "__key", blocks)
-    probed = probe(refs.select(*keys, *ref_id, ref_time, key.alias("__key")), "__key", bloom, "__hit", blocks)
+    probed = probe(refs.select(*dict.fromkeys([*keys, *ref_id, ref_time]), key.alias("__key")), "__key", bloom, "__hit", blocks)
     probed = cut_lineage(probed.withColumn("__maybe", F.col("__hit") & complete & F.col(ref_time).isNotNull()).drop("__hit"))
     surely, maybe = probed.where(~F.col("__maybe")).select(*ref_id, ref_time), probed.where("__maybe").drop("__maybe")
 
