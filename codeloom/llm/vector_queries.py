@@ -33,16 +33,26 @@ def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols in a group of two or more, with the group's smallest symbol_id."""
-    groups, _, _ = similarity_groups(latest_usable(table(spark, sf_dir, "symbol_embeddings")), MIN_COSINE)
+    groups, _, _, _ = similarity_groups(latest_usable(table(spark, sf_dir, "symbol_embeddings")), MIN_COSINE)
     return groups
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with size, medoid and the qualified names of their most typical members."""
-    _, classes, degrees = similarity_groups(latest_usable(table(spark, sf_dir, "symbol_embeddings")), MIN_COSINE)
-    return describe_groups(classes, degrees, table(spark, sf_dir, "symbols"), MIN_COSINE)
+    _, classes, degrees, links = similarity_groups(latest_usable(table(spark, sf_dir, "symbol_embeddings")), MIN_COSINE)
+    return describe_groups(classes, degrees, table(spark, sf_dir, "symbols"), links, MIN_COSINE)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_search, p5_found, p5_clusters)}
 
-SQL: dict[str, str] = {}
+_PAIRS = f"""u AS (SELECT symbol_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM (SELECT DISTINCT ON (symbol_id) symbol_id, embedding FROM symbol_embeddings WHERE symbol_id IS NOT NULL ORDER BY symbol_id, created_at DESC NULLS LAST)
+ WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 10) AS s FROM u a JOIN u b ON a.id <> b.id) WHERE s >= {MIN_COSINE})"""
+
+#: Exact: all pairs are compared.
+SQL = {
+    "p2_found": f"""WITH {_PAIRS}, k AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= {NEIGHBOURS})
+SELECT DISTINCT least(a, b) AS symbol_id_a, greatest(a, b) AS symbol_id_b FROM k""",
+    "p5_found": f"""WITH RECURSIVE {_PAIRS}, r(id, to_id) AS (SELECT a, b FROM p UNION SELECT r.id, p.b FROM r JOIN p ON r.to_id = p.a)
+SELECT id AS symbol_id, least(id, min(to_id)) AS cluster_id FROM r GROUP BY id""",
+}

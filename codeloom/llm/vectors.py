@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from codeloom.session import cut_lineage
 
 DIMENSIONS = 96
-#: Ids kept per class of equal vectors: one more than the longest result list, as a member never lists itself.
+#: Ids kept per class of equal vectors, unless a longer result list needs more.
 CLASS_IDS = 6
+#: Steps of a unit vector's coordinates within which two vectors have the same direction.
+DIRECTION_STEPS = 100_000
 
 
 def latest_usable(vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -31,22 +33,30 @@ def latest_usable(vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame
     return latest.where((F.size("embedding") == dimensions) & ~bad & F.exists("embedding", lambda x: x != 0))
 
 
-def vector_classes(usable: DataFrame) -> tuple[DataFrame, DataFrame]:
+def direction(column: str):
+    """Coordinates of the unit vector in whole steps: the same for a vector at any length."""
+    norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(column, lambda x: F.round(x.cast("double") / norm * DIRECTION_STEPS).cast("int"))
+
+
+def vector_classes(usable: DataFrame, ids: int = CLASS_IDS, by_direction: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes of equal vectors: ``(rep, size, ids, embedding)`` and ``(symbol_id, rep)``.
 
-    ``rep`` is the smallest symbol_id of the class and ``ids`` its first
-    ``CLASS_IDS`` ids.  A class of any size costs a fixed number of values per
-    input partition (partial aggregates and partial group limits), so that a
-    third of all rows being one vector needs no special task.
+    ``rep`` is the smallest symbol_id of the class and ``ids`` its first ``ids``
+    ids.  With ``by_direction`` vectors that differ in length only are one class.
+    A class of any size costs a fixed number of values per input partition (partial
+    aggregates and partial group limits), so that a third of all rows being one
+    vector needs no special task.
     """
-    keyed = cut_lineage(usable.withColumn("c1", F.xxhash64("embedding")).withColumn("c2", F.xxhash64(F.lit(1), "embedding")))
+    told = usable.withColumn("told", direction("embedding") if by_direction else F.col("embedding"))
+    keyed = cut_lineage(told.withColumn("c1", F.xxhash64("told")).withColumn("c2", F.xxhash64(F.lit(1), "told")).drop("told"))
     from pyspark.sql import Window
 
     order = Window.partitionBy("c1", "c2").orderBy("symbol_id")
     first = (
         keyed.select("c1", "c2", "symbol_id")
         .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= CLASS_IDS)
+        .where(F.col("n") <= ids)
         .groupBy("c1", "c2")
         .agg(F.sort_array(F.collect_list("symbol_id")).alias("ids"))
         .withColumn("rep", F.element_at("ids", 1))
