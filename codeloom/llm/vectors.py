@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.session import cut_lineage
@@ -33,25 +36,34 @@ def latest_usable(vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame
     return latest.where((F.size("embedding") == dimensions) & ~bad & F.exists("embedding", lambda x: x != 0))
 
 
-def direction(column: str):
-    """Coordinates of the unit vector in whole steps: the same for a vector at any length."""
-    norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(column, lambda x: F.round(x.cast("double") / norm * DIRECTION_STEPS).cast("int"))
+def _directions(dimensions: int):
+    """Adds two hashes of the direction: coordinates of the unit vector in whole steps, the same at any length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = np.rint(unit(matrix(batch["embedding"], dimensions)) * DIRECTION_STEPS).astype(np.int32)
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(row) for row in steps), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch["symbol_id"], batch["embedding"], pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["symbol_id", "embedding", "c1", "c2"])
 
+    return run
 
-def vector_classes(usable: DataFrame, ids: int = CLASS_IDS, by_direction: bool = False) -> tuple[DataFrame, DataFrame]:
+
+def vector_classes(usable: DataFrame, ids: int = CLASS_IDS, by_direction: int = 0) -> tuple[DataFrame, DataFrame]:
     """Classes of equal vectors: ``(rep, size, ids, embedding)`` and ``(symbol_id, rep)``.
 
     ``rep`` is the smallest symbol_id of the class and ``ids`` its first ``ids``
-    ids.  With ``by_direction`` vectors that differ in length only are one class.
+    ids.  With ``by_direction``, the number of dimensions, vectors that differ in
+    length only are one class.
     A class of any size costs a fixed number of values per input partition (partial
     aggregates and partial group limits), so that a third of all rows being one
     vector needs no special task.
     """
-    told = usable.withColumn("told", direction("embedding") if by_direction else F.col("embedding"))
-    keyed = cut_lineage(told.withColumn("c1", F.xxhash64("told")).withColumn("c2", F.xxhash64(F.lit(1), "told")).drop("told"))
-    from pyspark.sql import Window
-
+    if by_direction:
+        key = usable.schema["symbol_id"].dataType.simpleString()
+        told = usable.select("symbol_id", "embedding").mapInArrow(_directions(by_direction), f"symbol_id {key}, embedding array<float>, c1 long, c2 long")
+    else:
+        told = usable.withColumn("c1", F.xxhash64("embedding")).withColumn("c2", F.xxhash64(F.lit(1), "embedding"))
+    keyed = cut_lineage(told)
     order = Window.partitionBy("c1", "c2").orderBy("symbol_id")
     first = (
         keyed.select("c1", "c2", "symbol_id")
