@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.paths import normalise_path
 from codeloom.functions.text import bm25, match_all, tokens
 from codeloom.operators.cdc import cascade_delete, snapshot_diff, unchanged_skipped, upsert_latest
+from codeloom.operators.coverage import detect_symbols, roll_up
 from codeloom.operators.division import covers
 from codeloom.operators.graph import degrees, modularity, two_hops, undirected
 from codeloom.operators.rank import cosine, latest_per_key, mode_per_group, reciprocal_rank_fusion, top_k
@@ -353,3 +355,79 @@ def line_summary(spark: SparkSession, d: str) -> DataFrame:
 def token_totals(spark: SparkSession, d: str) -> DataFrame:
     """Word tokens per source."""
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size(tokens("text"))).alias("n_tokens"))
+
+
+@query(
+    """WITH h AS (SELECT DISTINCT user_id, event_type FROM events), z AS (SELECT user_id, count(*) AS size FROM h GROUP BY user_id)
+SELECT a.user_id AS need, b.user_id AS owner FROM h a JOIN h b ON a.event_type = b.event_type AND a.user_id <> b.user_id JOIN z ON a.user_id = z.user_id GROUP BY a.user_id, b.user_id, z.size HAVING count(*) = z.size"""
+)
+def cross_group_division(spark: SparkSession, d: str) -> DataFrame:
+    """Users who had every type of event that another user had."""
+    events = table(spark, d, "events").select("user_id", "event_type")
+    return covers(events.withColumnRenamed("user_id", "need"), events.withColumnRenamed("user_id", "owner"), "need", "event_type", "owner").where("need <> owner")
+
+
+@query(
+    """SELECT s_suppkey, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT o_orderkey) AS n_orders, count(DISTINCT o_custkey) AS n_customers
+FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE s_nationkey = 7 GROUP BY s_suppkey"""
+)
+def impact_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What depends on each supplier of one nation: parts, then orders, then customers."""
+    lines = table(spark, d, "supplier").where("s_nationkey = 7").select("s_suppkey").join(table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey"), F.col("s_suppkey") == F.col("l_suppkey"))
+    orders = lines.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    distinct = {"n_parts": "l_partkey", "n_orders": "o_orderkey", "n_customers": "o_custkey"}
+    return orders.groupBy("s_suppkey").agg(*[F.countDistinct(c).alias(n) for n, c in distinct.items()])
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT p_brand, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey), c AS (SELECT DISTINCT p_brand, o_custkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)
+SELECT p.p_brand, n_producers, n_consumers FROM (SELECT p_brand, count(*) AS n_producers FROM p GROUP BY p_brand) p JOIN (SELECT p_brand, count(*) AS n_consumers FROM c GROUP BY p_brand) c USING (p_brand)"""
+)
+def producer_consumer_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Per brand those who make it and those who take it."""
+    moved = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    made = moved.select("p_brand", "l_suppkey").distinct().groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_producers"))
+    taken = moved.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return made.join(taken.select("p_brand", "o_custkey").distinct().groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_consumers")), "p_brand")
+
+
+_VARIABLE = r"^[:$].+$|^\{.*\}$|^\d+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9a-fA-F]{32}$|\$\{"
+_REQUEST = "CASE id % 4 WHEN 0 THEN '/api/' || path || '/' || id WHEN 1 THEN '/' || path || '/:id' WHEN 2 THEN '/apiary/${' || path || '}' ELSE '/api/v1/' || coalesce(module, 'x') || '/{' || id || '}' END"
+
+
+@query(rf"SELECT id, array_to_string(list_transform(string_split(regexp_replace({_REQUEST}, '^/api/', '/'), '/'), lambda s: CASE WHEN regexp_matches(s, '{_VARIABLE}') THEN '{{id}}' ELSE s END), '/') AS general FROM files")
+def path_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Request paths made of file paths, in their general form."""
+    return table(spark, d, "files").select("id", normalise_path(F.expr(_REQUEST)).alias("general"))
+
+
+@query(r"SELECT target, count(*) AS n_links, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\]\(([^)\s]+)\)', 1)) AS target FROM documents) GROUP BY target")
+def regex_extract_links(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of the links in texts."""
+    found = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(([^)\s]+)\)"), F.lit(1))).alias("target"))
+    return found.groupBy("target").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(
+    """SELECT first_type, second_type, count(*) AS n, CAST(sum(epoch(ts2) - epoch(ts)) AS BIGINT) AS seconds FROM (
+SELECT event_type AS first_type, ts, lead(event_type) OVER w AS second_type, lead(ts) OVER w AS ts2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE second_type IS NOT NULL GROUP BY ALL"""
+)
+def conversation_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one user's neighbouring events and the time between them."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
+    pairs = table(spark, d, "events").select(F.col("event_type").alias("first_type"), "ts", F.lead("event_type").over(order).alias("second_type"), F.lead("ts").over(order).alias("ts2"))
+    return pairs.where("second_type is not null").groupBy("first_type", "second_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(seconds("ts2") - seconds("ts"))).cast("long").alias("seconds"))
+
+
+@query(
+    r"""WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '`(?:\w+\.)?(\w+)`', 1))) AS name FROM documents), k AS (SELECT DISTINCT lower(name) AS k FROM symbols WHERE name IS NOT NULL),
+s AS (SELECT doc_id, count(*) AS total, count(k) AS done FROM f LEFT JOIN k ON lower(f.name) = k GROUP BY doc_id)
+SELECT CASE WHEN done = total THEN 'implemented' WHEN done = 0 THEN 'missing' ELSE 'partial' END AS status, count(*) AS n_docs, CAST(sum(done) AS BIGINT) AS n_found, CAST(sum(total) AS BIGINT) AS n_named FROM s GROUP BY 1"""
+)
+def spec_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How far the functions that texts name in code marks are there."""
+    named = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"`(?:\w+\.)?(\w+)`"), F.lit(1)))).alias("name"))
+    detected = detect_symbols(named, table(spark, d, "symbols").where("name is not null"), "name")
+    counted = detected.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("implemented").alias("done"))
+    return counted.groupBy(roll_up(F.col("done"), F.col("total")).alias("status")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("done").alias("n_found"), F.sum("total").alias("n_named"))
