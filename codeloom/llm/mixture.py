@@ -180,11 +180,16 @@ def mix_sources(records: DataFrame, weights: DataFrame, total_tokens: int | None
 
 
 def mixture_report(mixture: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source: target and actual share, tokens used, greatest repetition and shortfall in tokens."""
+    """Per source: target and actual share, tokens used, greatest repetition and shortfall in tokens.
+
+    ``actual_share`` is of what the mixture holds, ``share_of_wanted`` of what it
+    was to hold: where a source falls short the first rises for all others.
+    """
     used = mixture.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.sum("repeats").alias("uses"), F.max("repeats").alias("most_repeats")
     )
     total = mixture.agg(F.sum(F.col("n_tokens") * F.col("repeats"))).first()[0] or 0
+    wanted = plan.agg(F.sum("wanted_tokens")).first()[0] or 0
     row = plan.join(used, "source", "left")
     tokens = F.coalesce("tokens", F.lit(0))
     return row.select(
@@ -197,5 +202,6 @@ def mixture_report(mixture: DataFrame, plan: DataFrame) -> DataFrame:
         F.coalesce("uses", F.lit(0)).alias("uses"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         F.round(tokens / F.lit(float(max(1, total))), 6).alias("actual_share"),
+        F.round(tokens / F.lit(float(max(1, wanted))), 6).alias("share_of_wanted"),
         F.round(F.greatest(F.lit(0.0), F.col("wanted_tokens") - F.coalesce("tokens", F.lit(0))), 0).cast("long").alias("shortfall_tokens"),
     )

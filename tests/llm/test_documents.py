@@ -59,6 +59,7 @@ def test_mixture(spark):
     report = {r["source"]: r for r in mixture_report(mixture, plan).collect()}
     total = sum(n for _, s, n in rows if s)
     assert abs(report["big"]["tokens"] - 0.5 * total) < 0.01 * total
+    assert abs(report["big"]["share_of_wanted"] - 0.5) < 0.01 < report["big"]["actual_share"] - 0.5
     assert report["small"]["most_repeats"] <= 2 and report["none"]["tokens"] == 0 and report["none"]["shortfall_tokens"] == round(0.2 * total)
     assert all(r[3] <= {"big": 3, "small": 2}[r[1]] for r in first) and "big2" not in report
     empty, plan = mix_sources(df.where("false"), weights)
