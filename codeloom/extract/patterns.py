@@ -73,35 +73,56 @@ DEFAULT_PATTERNS = PatternSet(
 
 # Dependency name (a trailing * stands for any rest) to the patterns it brings.
 CATALOGUE: dict[str, tuple[Pattern, ...]] = {
-    "google.golang.org/grpc": (Pattern("go", "grpc", "google.golang.org/grpc", ("Dial", "DialContext", "NewClient")),),
-    "github.com/segmentio/kafka-go": (Pattern("go", "kafka_publish", "segmentio/kafka-go", ("NewWriter",)), Pattern("go", "kafka_consume", "segmentio/kafka-go", ("NewReader",))),
-    "github.com/ibm/sarama": (Pattern("go", "kafka_publish", "sarama", ("NewSyncProducer", "NewAsyncProducer")), Pattern("go", "kafka_consume", "sarama", ("NewConsumerGroup", "NewConsumer"))),
-    "github.com/redis/go-redis*": (Pattern("go", "redis", "go-redis", ("NewClient", "NewClusterClient")),),
-    "github.com/nats-io/nats.go": (Pattern("go", "nats", "nats.go", ("Connect",)),),
-    "net/http": (Pattern("go", "http_api", "net/http", ("NewRequest", "Get", "Post")),),
-    "axios": (Pattern("ts", "http_api", regex=r"""\baxios(?:\.\w+)?\(\s*['"`]([^'"`]+)"""),),
-    "kafkajs": (Pattern("ts", "kafka_consume", regex=r"""\.subscribe\(\s*\{\s*topics?\s*:\s*\[?\s*['"`]([^'"`]+)"""), Pattern("ts", "kafka_publish", regex=r"""topic\s*:\s*['"`]([^'"`]+)""")),
-    "nats": (Pattern("ts", "nats", regex=r"""\bconnect\(\s*\{\s*servers"""),),
-    "@grpc/grpc-js": (Pattern("ts", "grpc", regex=r"""new\s+\w+Client\(\s*['"`]([^'"`]+)"""),),
+    # Go
+    "google.golang.org/grpc*": (Pattern("go", "grpc", "grpc", ("Dial", "DialContext", "NewClient")),),
+    "github.com/segmentio/kafka-go": (Pattern("go", "kafka_consume", "kafka-go", ("NewReader",)), Pattern("go", "kafka_publish", "kafka-go", ("NewWriter",))),
+    "github.com/IBM/sarama*": (Pattern("go", "kafka_consume", "sarama", ("NewConsumer", "NewConsumerGroup")), Pattern("go", "kafka_publish", "sarama", ("NewSyncProducer", "NewAsyncProducer"))),
+    "github.com/Shopify/sarama*": (Pattern("go", "kafka_consume", "sarama", ("NewConsumer", "NewConsumerGroup")), Pattern("go", "kafka_publish", "sarama", ("NewSyncProducer", "NewAsyncProducer"))),
+    "github.com/confluentinc/confluent-kafka-go*": (Pattern("go", "kafka_consume", "kafka", ("NewConsumer",)), Pattern("go", "kafka_publish", "kafka", ("NewProducer",))),
+    "net/http": (Pattern("go", "http_api", "net/http", ("Get", "Post", "Do")),),
+    "github.com/go-resty/resty*": (Pattern("go", "http_api", "resty", ("New",)),),
+    "github.com/redis/go-redis*": (Pattern("go", "redis", "redis", ("NewClient", "NewClusterClient")),),
+    "github.com/nats-io/nats.go": (Pattern("go", "nats", "nats", ("Connect",)),),
+    # JavaScript and TypeScript
+    "kafkajs": (
+        Pattern("ts", "kafka_consume", regex=r"""new\s+Kafka\s*\(\s*\{[^}]*brokers\s*:"""),
+        Pattern("ts", "kafka_publish", regex=r"""\.producer\s*\(\s*\)"""),
+        Pattern("ts", "kafka_consume", regex=r"""\.consumer\s*\(\s*\{"""),
+    ),
+    "@grpc/grpc-js": (Pattern("ts", "grpc", regex=r"""new\s+\w+Client\s*\(\s*['"`]([^'"`]+)['"`]"""),),
+    "axios": (Pattern("ts", "http_api", regex=r"""axios\.create\s*\(\s*\{[^}]*baseURL\s*:\s*['"`]([^'"`]+)['"`]"""),),
+    "ioredis": (Pattern("ts", "redis", regex=r"""new\s+Redis\s*\(\s*['"`]?([^'"`\s)]+)"""),),
+    "nats": (Pattern("ts", "nats", regex=r"""connect\s*\(\s*\{[^}]*servers\s*:"""),),
     "@nestjs/microservices": (Pattern("ts", "kafka_consume", regex=r"""@(?:EventPattern|MessagePattern)\(\s*['"`]([^'"`]+)"""),),
-    "grpcio": (Pattern("python", "grpc", "grpc", ("insecure_channel", "secure_channel")),),
+    # Python
+    "grpcio": (Pattern("python", "grpc", "grpc", ("Stub", "insecure_channel")),),
+    "grpcio-tools": (Pattern("python", "grpc", "grpc", ("Stub",)),),
     "kafka-python": (Pattern("python", "kafka_consume", "kafka", ("KafkaConsumer",)), Pattern("python", "kafka_publish", "kafka", ("KafkaProducer",))),
-    "aiokafka": (Pattern("python", "kafka_consume", "aiokafka", ("AIOKafkaConsumer",)),),
-    "httpx": (Pattern("python", "http_api", "httpx", ("get", "post", "Client", "AsyncClient"), attribute="base_url"),),
-    "requests": (Pattern("python", "http_api", "requests", ("get", "post", "put", "delete")),),
-    "redis": (Pattern("python", "redis", "redis", ("Redis", "from_url")),),
-    "io.grpc:*": (Pattern("java", "grpc", "io.grpc", ("forAddress", "forTarget")),),
-    "org.springframework.kafka:spring-kafka": (Pattern("java", "kafka_consume", "kafka", ("@KafkaListener",), attribute="topics"),),
+    "confluent-kafka": (Pattern("python", "kafka_consume", "confluent_kafka", ("Consumer",)), Pattern("python", "kafka_publish", "confluent_kafka", ("Producer",))),
+    "aiokafka": (Pattern("python", "kafka_consume", "aiokafka", ("AIOKafkaConsumer",)), Pattern("python", "kafka_publish", "aiokafka", ("AIOKafkaProducer",))),
+    "httpx": (Pattern("python", "http_api", "httpx", ("Client", "AsyncClient"), attribute="base_url"),),
+    "requests": (Pattern("python", "http_api", "requests", ("get", "post")),),
+    "aiohttp": (Pattern("python", "http_api", "aiohttp", ("ClientSession",), attribute="base_url"),),
+    "redis": (Pattern("python", "redis", "redis", ("Redis",), attribute="host"), Pattern("python", "redis", "redis", ("from_url",))),
+    "nats-py": (Pattern("python", "nats", "nats", ("connect",)),),
+    # Java
+    "io.grpc:grpc*": (Pattern("java", "grpc", "io.grpc", ("newBlockingStub", "forAddress")),),
+    "org.springframework.kafka*": (Pattern("java", "kafka_consume", "springframework.kafka", ("@KafkaListener",), attribute="topics"), Pattern("java", "kafka_publish", "springframework.kafka", ("send",))),
+    "org.springframework.cloud:spring-cloud-openfeign*": (Pattern("java", "http_api", "openfeign", ("@FeignClient",), attribute="name"),),
     "org.springframework.cloud:spring-cloud-starter-openfeign": (Pattern("java", "http_api", "openfeign", ("@FeignClient",), attribute="name"),),
+    "org.springframework:spring-web*": (Pattern("java", "http_api", "springframework.web", ("getForObject", "postForObject")),),
+    "org.apache.kafka:kafka-clients": (Pattern("java", "kafka_consume", "apache.kafka", ("subscribe",)), Pattern("java", "kafka_publish", "apache.kafka", ("send",))),
+    "io.lettuce:lettuce-core": (Pattern("java", "redis", "lettuce", ("create",)),),
+    "io.nats:jnats": (Pattern("java", "nats", "io.nats", ("connect",)),),
 }
 
 
 def catalogue_patterns(dependencies: list[str]) -> PatternSet:
-    """Patterns of the dependencies found in a project's manifests, by exact name or prefix."""
+    """Patterns of the dependencies found in a project's manifests, by exact name or prefix, whatever the case."""
     out = []
     for key, patterns in CATALOGUE.items():
         prefix = key[:-1] if key.endswith("*") else None
-        if any(d == key or prefix is not None and d.startswith(prefix) for d in dependencies):
+        if any(d.lower() == key.lower() or prefix is not None and d.lower().startswith(prefix.lower()) for d in dependencies):
             out += patterns
     return PatternSet(out)
 

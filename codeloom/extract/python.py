@@ -101,7 +101,7 @@ def _call(out: FileResult, node: ast.Call, patterns: list[Pattern]) -> None:
     called = ast.unparse(node.func)
     root, last = re.split(r"[.(]", called, maxsplit=1)[0], called.rsplit(".", 1)[-1]
     for p in patterns:
-        if last not in p.names:
+        if last not in p.names and not ("Stub" in p.names and last.endswith("Stub")):
             continue
         if not any(p.module in i["import_path"] and root in ((i["alias"] or i["import_path"].split(".")[0]), i["import_path"].split(".")[0]) for i in out.imports):
             continue

@@ -27,3 +27,22 @@ def feature_components(sections: DataFrame, key: str) -> DataFrame:
     """``(key, feature, name, kind, method, path)``: endpoints written as ``VERB /path`` in a section."""
     found = F.explode(F.array_distinct(F.arrays_zip(F.regexp_extract_all("raw_text", F.lit(_VERB), F.lit(1)).alias("method"), F.regexp_extract_all("raw_text", F.lit(_VERB), F.lit(2)).alias("path"))))
     return sections.select(key, "feature", "name", F.lit("api").alias("kind"), found.alias("c")).select(key, "feature", "name", "kind", F.upper("c.method").alias("method"), "c.path")
+
+
+_COMPONENTS = "struct<backend:array<struct<type:string,identifier:string>>,frontend:array<struct<type:string,identifier:string>>>"
+
+
+def components_from_json(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, side, kind, identifier)`` from JSON answers of a language model, fenced or not.
+
+    An answer is an object with the lists ``backend`` and ``frontend`` of objects
+    with ``type`` (api_endpoint, service_method, ui_screen, api_call) and
+    ``identifier``.  Answers that are no such JSON, and empty ones, give no rows.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    parsed = answers.select(key, F.from_json(bare, _COMPONENTS).alias("p"))
+    rows = None
+    for side in ("backend", "frontend"):
+        own = parsed.select(key, F.lit(side).alias("side"), F.explode(f"p.{side}").alias("c")).select(key, "side", F.col("c.type").alias("kind"), F.col("c.identifier").alias("identifier"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.where("identifier is not null")

@@ -133,3 +133,8 @@ def test_manifests_and_catalogue():
     assert manifests.tsconfig_aliases('{ // c\n "compilerOptions": {"paths": {"@/*": ["src/*"],}}}') == {"@": "src"}
     assert {p.conn_type for p in catalogue_patterns(["io.grpc:grpc-stub", "github.com/redis/go-redis/v9"]).patterns} == {"grpc", "redis"}
     assert catalogue_patterns([]).patterns == []
+    brings = {"github.com/ibm/sarama": {"kafka_consume", "kafka_publish"}, "kafkajs": {"kafka_consume", "kafka_publish"}, "nats-py": {"nats"}, "aiohttp": {"http_api"}, "io.lettuce:lettuce-core": {"redis"}, "org.apache.kafka:kafka-clients": {"kafka_consume", "kafka_publish"}, "unknown": set()}
+    for name, kinds in brings.items():
+        assert {p.conn_type for p in catalogue_patterns([name]).patterns} == kinds, name
+    stub = extract_python("a/c.py", "import users_pb2_grpc\n\ndef f(ch):\n    return users_pb2_grpc.UserServiceStub(ch)\n", catalogue_patterns(["grpcio"]).of("python", "a/c.py"))
+    assert [c["conn_type"] for c in stub.service_connections] == ["grpc"]
