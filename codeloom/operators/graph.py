@@ -15,16 +15,16 @@ def reach(edges: DataFrame, starts: DataFrame, src: str, dst: str, depth: int, s
 
     ``starts`` holds the column ``start``; with ``carry_start`` each start has its
     own distances.  Gives ``(start,) node, depth``; starts have depth 0.  Each round
-    joins the frontier with the edges and drops visited nodes; only the frontier is
-    computed and cut to the checkpoint folder, the visited set being the frontiers
-    so far.  With ``most`` a start goes no further once it has more than ``most``
+    joins the frontier with the edges, computed once, and drops visited nodes; only
+    the frontier is computed and cut to the checkpoint folder, the visited set being
+    the frontiers so far.  With ``most`` a start goes no further once it has more than ``most``
     nodes: those of the level in which that happens are complete.
     """
     keys = ["start", "node"] if carry_start else ["node"]
     first = starts.select(F.col(start).alias("node")).where(F.col("node").isNotNull()).distinct()
     if carry_start:
         first = first.withColumn("start", F.col("node"))
-    steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct()
+    steps = cut_lineage(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct())
     seen = front = cut_lineage(first.select(*keys).withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
         if most is not None and carry_start and level > 1:
@@ -45,7 +45,7 @@ def weakest_link_paths(edges: DataFrame, targets: DataFrame, src: str, dst: str,
     so walks through cycles and parallel edges do not multiply.
     """
     back = edges.where(F.col(weight) >= least).select(F.col(dst).alias("node"), F.col(src).alias("caller"), F.col(weight).cast("double").alias("w"))
-    back = back.groupBy("node", "caller", "w").agg(F.lit(1).alias("x")).drop("x")
+    back = back.distinct()
     front = targets.select(F.col(target).alias("node")).distinct().withColumn("confidence", F.lit(1.0))
     levels = None
     for level in range(1, depth + 1):

@@ -230,7 +230,7 @@ def siblings(ix: CodeIndex, targets: DataFrame, same_method: bool = True) -> Dat
 
 def impact_callers(ix: CodeIndex, name: str, depth: int = 5, repo: str | None = None, min_confidence: float = 0.0, same_method: bool = True) -> DataFrame:
     """``(caller, depth, confidence)``: all callers of a function, and those of its siblings one step further."""
-    edges = cut_lineage(_repo_edges(ix, call_edges(ix, min_confidence), repo))
+    edges = cut_lineage(_repo_edges(ix, call_edges(ix, min_confidence), repo).select("src", "dst", "confidence").distinct())
     targets = cut_lineage(_targets(ix, name))
     direct = weakest_link_paths(edges, targets, "src", "dst", "confidence", depth)
     via = weakest_link_paths(edges, siblings(ix, targets, same_method), "src", "dst", "confidence", depth).withColumn("depth", F.col("depth") + 1)
