@@ -53,6 +53,9 @@ p AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a
 SQL = {
     "p2_found": f"""WITH {_PAIRS}, k AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= {NEIGHBOURS})
 SELECT DISTINCT least(a, b) AS symbol_id_a, greatest(a, b) AS symbol_id_b FROM k""",
+    "p2_search": f"""WITH {_PAIRS.replace(f"WHERE s >= {MIN_COSINE}", "WHERE a % 100 = 0")}, k AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM p QUALIFY rank <= {NEIGHBOURS}),
+l AS (SELECT DISTINCT ON (symbol_id) symbol_id, file, kind, name, line, service FROM symbol_embeddings ORDER BY symbol_id, created_at DESC NULLS LAST)
+SELECT a AS query_symbol_id, rank, symbol_id, round(s, 6) AS score, file, kind, name, line, service FROM k JOIN l ON l.symbol_id = k.b""",
     "p5_found": f"""WITH RECURSIVE {_PAIRS}, r(id, to_id) AS (SELECT a, b FROM p UNION SELECT r.id, p.b FROM r JOIN p ON r.to_id = p.a)
 SELECT id AS symbol_id, least(id, min(to_id)) AS cluster_id FROM r GROUP BY id""",
 }
