@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import warnings
 from dataclasses import dataclass, field
 
 
@@ -134,6 +135,7 @@ def read_patterns(path: str) -> PatternSet:
     try:
         import yaml
     except ImportError:
+        warnings.warn(f"{path} is not read: there is no module yaml", stacklevel=2)
         return PatternSet()
     with open(path, encoding="utf-8") as text:
         try:

@@ -142,10 +142,11 @@ def scalar_count_per_parent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderdate > TIMESTAMP '1997-01-01')")
 def left_join_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without an order."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order of late."""
+    urgent = table(spark, d, "orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderdate") > F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")))
+    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 30")
