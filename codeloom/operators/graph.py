@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.session import cut_lineage
 
+#: Joined pairs of a group up to which one task moves its nodes; larger groups move in rounds over all tasks.
+TASK_PAIRS = 500_000
+
 
 def reach(edges: DataFrame, starts: DataFrame, src: str, dst: str, depth: int, start: str = "start", carry_start: bool = False, most: int | None = None) -> DataFrame:
     """Least number of steps from the start nodes to every node within ``depth``.
@@ -91,20 +97,86 @@ def modularity(pairs: DataFrame, member: DataFrame) -> DataFrame:
     return sums.select(F.round((F.coalesce("iw", F.lit(0.0)) - F.coalesce("id", F.lit(0.0)) / (2 * m)) / m, 6).alias("modularity"))
 
 
-def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int = 400) -> DataFrame:
+def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int = 400, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """``(group, node, community)``: nodes move to the neighbouring community that raises modularity most.
 
-    Local moving in rounds of joins and aggregates, so that a graph of any size
-    (a repository with a third of all calls) is spread over all tasks.  In each
-    round one half of the nodes, drawn anew by hash, may move, which keeps
+    Groups of up to ``task_pairs`` joined pairs are moved whole in one task each; larger
+    ones in rounds of joins and aggregates, so that a graph of any size
+    (a repository with a third of all calls) is spread over all tasks.  Both take
+    the same steps.  In each round one half of the nodes, drawn anew by hash, may move, which keeps
     neighbours from swapping places.  Parallel edges add up and a loop counts twice
     in the degree.  Ties go to the smallest community; communities are numbered by
     their smallest node, so the result is the same on every run.  It ends when no
     node of any half wants to move; after ``rounds`` it warns and gives what there is.
     """
     g = F.col(group).alias("g")
-    ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & F.col(group).isNotNull())
     pairs = cut_lineage(ends.select(g, F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).groupBy("g", "u", "v").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    large = cut_lineage(pairs.groupBy("g").count().where(F.col("count") > task_pairs).select("g"))
+    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    hashed = pairs.join(large, "g", "left_anti").select("g", "u", "v", "w", F.xxhash64("g", "u").alias("hu"), F.xxhash64("g", "v").alias("hv"))
+    found = hashed.groupBy("g").applyInArrow(_move_group(rounds), f"g {kind['g']}, node {kind['u']}, community int")
+    if not large.isEmpty():
+        found = found.unionByName(_move_in_rounds(pairs.join(large, "g", "left_semi"), rounds))
+    return found.select(F.col("g").alias(group), "node", "community")
+
+
+def _may_move(h: np.ndarray, turn: int) -> np.ndarray:
+    """Whether Spark's ``xxhash64(g, u, turn)`` is even, from ``xxhash64(g, u)``."""
+    p1, p2, p3, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    x = (h + (p5 + np.uint64(4))) ^ (np.full(1, turn, np.uint64) * p1)
+    x = (x << np.uint64(23) | x >> np.uint64(41)) * p2 + p3
+    x = (x ^ x >> np.uint64(33)) * p2
+    x = (x ^ x >> np.uint64(29)) * p3
+    return (x ^ x >> np.uint64(32)) & np.uint64(1) == 0
+
+
+def _move_group(rounds: int):
+    """The rounds of one group in one task."""
+
+    def run(pairs: pa.Table) -> pa.Table:
+        both = pa.concat_arrays([*pairs["u"].chunks, *pairs["v"].chunks])
+        coded = both.dictionary_encode()
+        # nodes numbered in their order, so that the smallest number is the smallest node
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        names, n = coded.dictionary.take(pa.array(order)), len(order)
+        at = number[coded.indices.to_numpy()].astype(np.int64)
+        u, v, w = at[: len(pairs)], at[len(pairs) :], pairs["w"].to_numpy()
+        h = np.empty(n, np.uint64)
+        h[u], h[v] = pairs["hu"].to_numpy().view(np.uint64), pairs["hv"].to_numpy().view(np.uint64)
+        k, m = np.bincount(u, w, n) + np.bincount(v, w, n), w.sum()
+        apart = u != v
+        a, b, inner = np.concatenate([u[apart], v[apart]]), np.concatenate([v[apart], u[apart]]), np.concatenate([w[apart], w[apart]])
+        nodes = np.arange(n)
+        a, inner = np.concatenate([a, nodes]), np.concatenate([inner, np.zeros(n)])
+        c = nodes.copy()
+        for turn in range(rounds):
+            key, place = np.unique(a * n + np.concatenate([c[b], c]), return_inverse=True)
+            node, choice = np.divmod(key, n)
+            home = choice == c[node]
+            gain = np.bincount(place, inner) * 2 * m - (np.bincount(c, k, n)[choice] - np.where(home, k[node], 0.0)) * k[node]
+            # keys are sorted by node, then community; of equal gains one's own community is first
+            rank = np.lexsort((choice, ~home, -gain, node))
+            best = choice[rank[np.searchsorted(node, nodes)]]
+            wants = best != c
+            c = np.where(_may_move(h, turn), best, c)
+            if not wants.any():
+                break
+        else:
+            warnings.warn(f"communities still move after {rounds} rounds", stacklevel=2)
+        least = np.full(n, n)
+        np.minimum.at(least, c, nodes)
+        community = np.unique(least[c], return_inverse=True)[1]
+        return pa.table({"g": pairs["g"].take(pa.array(np.zeros(n, np.int64))), "node": names, "community": pa.array(community, pa.int32())})
+
+    return run
+
+
+def _move_in_rounds(pairs: DataFrame, rounds: int) -> DataFrame:
+    """The rounds of groups of any size by joins and aggregates: ``(g, node, community)``."""
+    pairs = cut_lineage(pairs)
     both = cut_lineage(pairs.where("u <> v").unionByName(pairs.where("u <> v").select("g", F.col("v").alias("u"), F.col("u").alias("v"), "w")))
     total = pairs.groupBy("g").agg(F.sum("w").alias("m"))
     degree = pairs.select("g", F.explode(F.array(F.struct(F.col("u").alias("n"), "w"), F.struct(F.col("v").alias("n"), "w"))).alias("e")).groupBy("g", F.col("e.n").alias("u")).agg(F.sum("e.w").alias("k"))
@@ -116,7 +188,7 @@ def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int =
         own = label.select("g", "u", "k", "m", F.col("c").alias("own"))
         rated = choice.join(own, ["g", "u"]).join(weight, ["g", "c"])
         at_home = F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("inner") / F.col("m") - (F.col("total") - at_home) * F.col("k") / (2 * F.col("m") * F.col("m")), 12)
+        gain = F.col("inner") * 2 * F.col("m") - (F.col("total") - at_home) * F.col("k")  # whole numbers, so equal gains are equal
         best = rated.withColumn("gain", gain).groupBy("g", "u", "k", "m", "own").agg(
             F.min_by("c", F.struct((-F.col("gain")).alias("a"), (F.col("c") != F.col("own")).alias("b"), F.col("c").alias("d"))).alias("best")
         )
@@ -129,4 +201,4 @@ def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int =
         warnings.warn(f"communities still move after {rounds} rounds", stacklevel=2)
     first = label.groupBy("g", "c").agg(F.min("u").alias("least"))
     number = first.withColumn("community", F.dense_rank().over(Window.partitionBy("g").orderBy("least")) - 1)
-    return label.join(number, ["g", "c"]).select(F.col("g").alias(group), F.col("u").alias("node"), "community")
+    return label.join(number, ["g", "c"]).select("g", F.col("u").alias("node"), "community")

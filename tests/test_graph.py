@@ -77,6 +77,26 @@ def test_communities_go_on_until_nothing_moves(spark):
     assert all(len({label[f"{g:02d}{a}"] for a in "abcde"}) == 1 for g in range(12))
 
 
+def test_groups_in_tasks_and_in_rounds_move_alike(spark):
+    random.seed(5)
+    rows = [(g, f"n{random.randrange(30)}", f"n{int(30 * random.random() ** 2)}") for g in (1, 2, 3) for _ in range(25 * g)] + [(3, "é", "n1"), (3, None, "n2")]
+    df = spark.createDataFrame(rows, "repo int, s string, d string")
+    tasks, split = ({(r["repo"], r["node"]): r["community"] for r in communities(df, "repo", "s", "d", task_pairs=most).collect()} for most in (10_000, 40))
+    assert tasks == split and {n for _, n in tasks} >= {"é", "n1"}
+
+
+def test_many_small_groups_take_few_jobs(spark):
+    # Jobs grew with the rounds when all groups moved in rounds of joins.
+    rows = [(r, f"{g}{a}", f"{g}{b}") for r in range(20) for g in range(6) for a in "abcd" for b in "abcd" if a < b] + [(r, f"{g}d", f"{g + 1}a") for r in range(20) for g in range(5)]
+    df = spark.createDataFrame(rows, "repo int, s string, d string")
+    context = spark.sparkContext
+    context.setJobGroup("communities", "counted")
+    found = communities(df, "repo", "s", "d").collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("communities"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 20 * 24 and all(r["community"] is not None for r in found) and 0 < jobs < 20
+
+
 def test_two_hops(spark):
     left = spark.createDataFrame([("p", 1), ("q", 1), ("r", 2)], "a string, via int")
     assert {tuple(r) for r in two_hops(left, left.toDF("b", "via"), "a", "via", "b").collect()} == {("p", "q"), ("q", "p")}
