@@ -4,6 +4,7 @@ import random
 
 from codeloom.operators.components import connected_components
 from codeloom.operators.graph import communities, degrees, modularity, reach, two_hops, undirected, weakest_link_paths
+from codeloom.plans import registry
 
 EDGES = [("a", "b", 0.9), ("a", "c", 0.5), ("b", "d", 0.8), ("c", "d", 0.9), ("d", "a", 0.7), ("d", "d", 1.0), ("b", "d", 0.6), ("x", "y", 1.0), (None, "a", 1.0)]
 
@@ -97,6 +98,18 @@ def test_many_small_groups_take_few_jobs(spark):
     assert len(found) == 20 * 24 and all(r["community"] is not None for r in found) and 0 < jobs < 20
 
 
+def test_community_list_takes_few_jobs(spark):
+    # Jobs grew with the rounds when all repositories moved in rounds of joins.
+    query = registry.queries()["code_community_list"]
+    context = spark.sparkContext
+    context.setJobGroup("list", "counted")
+    found = query(spark, "/root/testdata/sf0.001")
+    jobs = len(context.statusTracker().getJobIdsForGroup("list"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    rows = found.collect()
+    assert rows and 0 < jobs < 30 and all(r["member_count"] > 1 and 1 <= len(r["members"]) <= 3 for r in rows)
+
+
 def test_two_hops(spark):
     left = spark.createDataFrame([("p", 1), ("q", 1), ("r", 2)], "a string, via int")
     assert {tuple(r) for r in two_hops(left, left.toDF("b", "via"), "a", "via", "b").collect()} == {("p", "q"), ("q", "p")}
