@@ -5,15 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import default_parallelism
+
+
+#: Members of a class of equal owners that travel as one row, about.
+BLOCK = 512
+
 
 def covers(required: DataFrame, have: DataFrame, need: str, item: str, owner: str) -> DataFrame:
     """``(need, owner)`` where the owner has every item of the requirement.
 
     ``required`` holds ``(need, item)`` and ``have`` ``(owner, item)``; repeated rows
-    count once, null items never match, and a requirement without items covers
-    nobody.
+    count once, null items, needs and owners never match, and a requirement without items covers
+    nobody.  Requirements of the same items are one, and so are owners: only the sets are
+    divided.  The pairs of their members are made from blocks of about ``BLOCK`` of
+    each, spread over the tasks, so that only the result grows with the pairs.
     """
-    return _divide(required, have, [], need, item, owner)
+    wanted, needs = _equal_sets(required, need, item)
+    held, owners = _equal_sets(have, owner, item)
+    sets = _divide(wanted.withColumnRenamed(need, "__set_n"), held.withColumnRenamed(owner, "__set_o"), [], "__set_n", item, "__set_o")
+    n, o = _blocks(needs, need, "__n"), _blocks(owners, owner, "__o")
+    blocks = sets.join(n, F.col("__set_n") == F.col("__n_set")).join(o, F.col("__set_o") == F.col("__o_set"))
+    spread = blocks.repartition(4 * default_parallelism(have.sparkSession), "__set_n", "__n_block", "__set_o", "__o_block")
+    return spread.select(F.explode("__n").alias(need), "__o").select(need, F.explode("__o").alias(owner))
+
+
+def _equal_sets(rows: DataFrame, owner: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """``(owner, item)`` of one owner of each set of items, the smallest, and ``(set, owner)`` of all.
+
+    Sets are told apart by their size and two sums of hashes, so no set is gathered in a row.
+    """
+    own = rows.select(owner, item).where(F.col(owner).isNotNull() & F.col(item).isNotNull()).distinct()
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), item).cast("decimal(20,0)"))
+    told = own.groupBy(owner).agg(F.count(F.lit(1)).alias("c"), total(1).alias("s1"), total(2).alias("s2"))
+    first = told.groupBy("c", "s1", "s2").agg(F.min(owner).alias("__set"))
+    return own.join(first.select(F.col("__set").alias(owner)), owner, "left_semi"), told.join(first, ["c", "s1", "s2"]).select("__set", owner)
+
+
+def _blocks(members: DataFrame, owner: str, name: str) -> DataFrame:
+    """Members of each set in arrays of about ``BLOCK``: ``({name}_set, {name}_block, {name})``."""
+    many = members.groupBy("__set").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("m"))
+    placed = members.join(many, "__set").withColumn("b", F.pmod(F.xxhash64(owner), F.col("m")))
+    return placed.groupBy(F.col("__set").alias(f"{name}_set"), F.col("b").alias(f"{name}_block")).agg(F.collect_list(owner).alias(name))
 
 
 def _divide(required: DataFrame, have: DataFrame, group: list[str], need: str, item: str, owner: str) -> DataFrame:

@@ -15,6 +15,17 @@ def test_division(spark):
     assert {tuple(r) for r in covers(need, have, "need", "item", "owner").collect()} == {("i", "x"), ("j", "y")}
 
 
+def test_division_of_equal_sets_makes_only_the_result(spark):
+    # Every owner has the same items: before, each pair was made once for each item and counted.
+    rows = spark.range(600).selectExpr("id as owner", "explode(sequence(1, 40)) as item").unionByName(spark.createDataFrame([(1000, 1), (1001, 41), (None, 1)], "owner long, item int"))
+    found = covers(rows.withColumnRenamed("owner", "need"), rows, "need", "item", "owner")
+    assert found.distinct().count() == found.count() == 600 * 600 + 601 + 1
+    assert found.where("need = 1000 and owner < 600").count() == 600 and found.where("owner = 1000 and need <> 1000").count() == 0
+    # the pairs are made last: nothing joins or counts them
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: min(plan.index("Join"), plan.index("Aggregate"))].count("Generate explode") == 2
+
+
 def test_implementations_same_and_cross_file(spark):
     iface = spark.createDataFrame([(1, 10, "I", "A"), (1, 10, "I", "B")], "repo_id int, file_id int, interface_name string, method_name string")
     have = spark.createDataFrame([(1, 10, "S", "A"), (1, 10, "S", "B"), (1, 11, "T", "A"), (1, 12, "T", "B"), (2, 10, "S", "A")], "repo_id int, file_id int, struct_name string, method_name string")
