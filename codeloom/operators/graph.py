@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from codeloom.session import cut_lineage
 
 #: Joined pairs of a group up to which one task moves its nodes; larger groups move in rounds over all tasks.
-TASK_PAIRS = 500_000
+TASK_PAIRS = 5_000_000
+#: Joined pairs of a group up to which its task gets the nodes' names; above, Spark numbers the nodes and the task holds numbers only.
+NAMED_PAIRS = 500_000
+#: Neighbours that a task rates at once.
+RATED = 1_000_000
 
 
 def reach(edges: DataFrame, starts: DataFrame, src: str, dst: str, depth: int, start: str = "start", carry_start: bool = False, most: int | None = None) -> DataFrame:
@@ -97,13 +101,13 @@ def modularity(pairs: DataFrame, member: DataFrame) -> DataFrame:
     return sums.select(F.round((F.coalesce("iw", F.lit(0.0)) - F.coalesce("id", F.lit(0.0)) / (2 * m)) / m, 6).alias("modularity"))
 
 
-def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int = 400, task_pairs: int = TASK_PAIRS) -> DataFrame:
+def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int = 400, task_pairs: int = TASK_PAIRS, named_pairs: int = NAMED_PAIRS) -> DataFrame:
     """``(group, node, community)``: nodes move to the neighbouring community that raises modularity most.
 
-    Groups of up to ``task_pairs`` joined pairs are moved whole in one task each; larger
-    ones in rounds of joins and aggregates, so that a graph of any size
-    (a repository with a third of all calls) is spread over all tasks.  Both take
-    the same steps.  In each round one half of the nodes, drawn anew by hash, may move, which keeps
+    Groups of up to ``task_pairs`` joined pairs are moved whole in one task each, those above
+    ``named_pairs`` as numbers given by Spark; still larger ones in rounds of joins and
+    aggregates, so that a graph of any size is spread over all tasks.  All take the
+    same steps.  In each round one half of the nodes, drawn anew by hash, may move, which keeps
     neighbours from swapping places.  Parallel edges add up and a loop counts twice
     in the degree.  Ties go to the smallest community; communities are numbered by
     their smallest node, so the result is the same on every run.  It ends when no
@@ -112,12 +116,15 @@ def communities(edges: DataFrame, group: str, src: str, dst: str, rounds: int =
     g = F.col(group).alias("g")
     ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & F.col(group).isNotNull())
     pairs = cut_lineage(ends.select(g, F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).groupBy("g", "u", "v").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    large = cut_lineage(pairs.groupBy("g").count().where(F.col("count") > task_pairs).select("g"))
+    large = cut_lineage(pairs.groupBy("g").count().where(F.col("count") > min(task_pairs, named_pairs)))
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
     hashed = pairs.join(large, "g", "left_anti").select("g", "u", "v", "w", F.xxhash64("g", "u").alias("hu"), F.xxhash64("g", "v").alias("hv"))
     found = hashed.groupBy("g").applyInArrow(_move_group(rounds), f"g {kind['g']}, node {kind['u']}, community int")
-    if not large.isEmpty():
-        found = found.unionByName(_move_in_rounds(pairs.join(large, "g", "left_semi"), rounds))
+    numbered, spread = large.where(F.col("count") <= task_pairs), large.where(F.col("count") > task_pairs)
+    if not numbered.isEmpty():
+        found = found.unionByName(_move_numbered(pairs.join(numbered, "g", "left_semi"), rounds))
+    if not spread.isEmpty():
+        found = found.unionByName(_move_in_rounds(pairs.join(spread, "g", "left_semi"), rounds))
     return found.select(F.col("g").alias(group), "node", "community")
 
 
@@ -131,6 +138,74 @@ def _may_move(h: np.ndarray, turn: int) -> np.ndarray:
     return (x ^ x >> np.uint64(32)) & np.uint64(1) == 0
 
 
+def _moved(u: np.ndarray, v: np.ndarray, w: np.ndarray, h: np.ndarray, rounds: int) -> np.ndarray:
+    """The community of each node; nodes are numbered in their order.
+
+    A node is rated again only after a community that it or a neighbour is in has changed.
+    """
+    n = len(h)
+    k, m = np.bincount(u, w, n) + np.bincount(v, w, n), w.sum()
+    apart = u != v
+    u, v, w = u[apart], v[apart], w[apart]
+    start = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=n) + np.bincount(v, minlength=n))])
+    order = np.argsort(np.concatenate([u, v]), kind="stable")
+    near, link = np.concatenate([v, u])[order], np.concatenate([w, w])[order]
+    del order, u, v, w, apart
+    c = np.arange(n)
+    best, total, stale = c.copy(), k.copy(), np.ones(n, bool)
+
+    def parts(nodes: np.ndarray):
+        """Parts of the nodes, with the places of their neighbours and whose each is."""
+        many = start[nodes + 1] - start[nodes]
+        part = np.cumsum(many) // RATED
+        for own in np.split(np.arange(len(nodes)), np.flatnonzero(np.diff(part)) + 1):
+            of = np.repeat(np.arange(len(own)), many[own])
+            first = start[nodes[own]] - (np.cumsum(many[own]) - many[own])
+            yield nodes[own], first[of] + np.arange(len(of)), of
+
+    def rate(nodes: np.ndarray) -> None:
+        for own, at, of in parts(nodes):
+            key = np.concatenate([of * n + c[near[at]], np.arange(len(own)) * n + c[own]])
+            place = np.argsort(key)
+            key = key[place]
+            new = np.flatnonzero(np.diff(key, prepend=-1))
+            inner = np.add.reduceat(np.concatenate([link[at], np.zeros(len(own))])[place], new)
+            node, choice = np.divmod(key[new], n)
+            home, degree = choice == c[own][node], k[own][node]
+            gain = inner * 2 * m - (total[choice] - np.where(home, degree, 0.0)) * degree
+            # keys are sorted by node, then community; of equal gains one's own community is first
+            begin = np.searchsorted(node, np.arange(len(own)))
+            top = gain == np.maximum.reduceat(gain, begin)[node]
+            least = np.minimum.reduceat(np.where(top, np.where(home, -1, choice), n), begin)
+            best[own] = np.where(least < 0, c[own], least)
+        stale[nodes] = False
+
+    for turn in range(rounds):
+        may = _may_move(h, turn)
+        if (due := np.flatnonzero(stale & may)).size:
+            rate(due)
+        moves = np.flatnonzero(may & (best != c))
+        if not moves.size:
+            if (due := np.flatnonzero(stale)).size:
+                rate(due)
+            if (best == c).all():
+                break
+            continue
+        touched = np.zeros(n, bool)
+        touched[c[moves]] = touched[best[moves]] = True
+        c[moves] = best[moves]
+        total = np.bincount(c, k, n)
+        inside = touched[c]
+        stale |= inside
+        for _, at, _ in parts(np.flatnonzero(inside)):
+            stale[near[at]] = True
+    else:
+        warnings.warn(f"communities still move after {rounds} rounds", stacklevel=2)
+    least = np.full(n, n)
+    np.minimum.at(least, c, np.arange(n))
+    return np.unique(least[c], return_inverse=True)[1]
+
+
 def _move_group(rounds: int):
     """The rounds of one group in one task."""
 
@@ -146,34 +221,32 @@ def _move_group(rounds: int):
         u, v, w = at[: len(pairs)], at[len(pairs) :], pairs["w"].to_numpy()
         h = np.empty(n, np.uint64)
         h[u], h[v] = pairs["hu"].to_numpy().view(np.uint64), pairs["hv"].to_numpy().view(np.uint64)
-        k, m = np.bincount(u, w, n) + np.bincount(v, w, n), w.sum()
-        apart = u != v
-        a, b, inner = np.concatenate([u[apart], v[apart]]), np.concatenate([v[apart], u[apart]]), np.concatenate([w[apart], w[apart]])
-        nodes = np.arange(n)
-        a, inner = np.concatenate([a, nodes]), np.concatenate([inner, np.zeros(n)])
-        c = nodes.copy()
-        for turn in range(rounds):
-            key, place = np.unique(a * n + np.concatenate([c[b], c]), return_inverse=True)
-            node, choice = np.divmod(key, n)
-            home = choice == c[node]
-            gain = np.bincount(place, inner) * 2 * m - (np.bincount(c, k, n)[choice] - np.where(home, k[node], 0.0)) * k[node]
-            # keys are sorted by node, then community; of equal gains one's own community is first
-            rank = np.lexsort((choice, ~home, -gain, node))
-            best = choice[rank[np.searchsorted(node, nodes)]]
-            wants = best != c
-            c = np.where(_may_move(h, turn), best, c)
-            if not wants.any():
-                break
-        else:
-            warnings.warn(f"communities still move after {rounds} rounds", stacklevel=2)
-        least = np.full(n, n)
-        np.minimum.at(least, c, nodes)
-        community = np.unique(least[c], return_inverse=True)[1]
+        community = _moved(u, v, w, h, rounds)
         return pa.table({"g": pairs["g"].take(pa.array(np.zeros(n, np.int64))), "node": names, "community": pa.array(community, pa.int32())})
 
     return run
 
 
+def _move_numbered(pairs: DataFrame, rounds: int) -> DataFrame:
+    """The rounds of one group in one task that gets numbers for the nodes: ``(g, node, community)``."""
+    ends = pairs.select("g", F.explode(F.array("u", "v")).alias("node")).distinct()
+    number = F.row_number().over(Window.partitionBy("g").orderBy("node")) - 1
+    nodes = cut_lineage(ends.select("g", "node", number.alias("i"), F.xxhash64("g", "node").alias("h")))
+    at = nodes.select("g", "node", "i")
+    numbered = pairs.join(at.toDF("g", "u", "a"), ["g", "u"]).join(at.toDF("g", "v", "b"), ["g", "v"]).select(F.col("g").alias("of"), "a", "b", "w")
+
+    def run(nodes: pa.Table, pairs: pa.Table) -> pa.Table:
+        i = nodes["i"].to_numpy()
+        h = np.empty(len(i), np.uint64)
+        h[i] = nodes["h"].to_numpy().view(np.uint64)
+        community = _moved(pairs["a"].to_numpy(), pairs["b"].to_numpy(), pairs["w"].to_numpy(), h, rounds)
+        return pa.table({"g": nodes["g"], "i": nodes["i"], "community": pa.array(community[i], pa.int32())})
+
+    kind = nodes.schema["g"].dataType.simpleString()
+    moved = nodes.select("g", "i", "h").groupBy("g").cogroup(numbered.groupBy("of")).applyInArrow(run, f"g {kind}, i int, community int")
+    return nodes.join(moved, ["g", "i"]).select("g", "node", "community")
+
+
 def _move_in_rounds(pairs: DataFrame, rounds: int) -> DataFrame:
     """The rounds of groups of any size by joins and aggregates: ``(g, node, community)``."""
     pairs = cut_lineage(pairs)

@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from codeloom.operators import graph
 from codeloom.operators.components import connected_components
 from codeloom.operators.graph import communities, degrees, modularity, reach, two_hops, undirected, weakest_link_paths
 from codeloom.plans import registry
@@ -110,6 +114,36 @@ def test_community_list_takes_few_jobs(spark):
     assert rows and 0 < jobs < 30 and all(r["member_count"] > 1 and 1 <= len(r["members"]) <= 3 for r in rows)
 
 
+def test_numbered_groups_move_alike(spark):
+    random.seed(6)
+    rows = [(g, f"n{random.randrange(40)}", f"n{int(40 * random.random() ** 2)}") for g in (1, 2, 3) for _ in range(30 * g)] + [(3, "é", "n1"), (3, "é", "é"), (3, None, "n2")]
+    df = spark.createDataFrame(rows, "repo int, s string, d string")
+    named, numbered, mixed = ({(r["repo"], r["node"]): r["community"] for r in communities(df, "repo", "s", "d", **most).collect()} for most in ({}, {"named_pairs": 40}, {"named_pairs": 40, "task_pairs": 75}))
+    assert named == numbered == mixed and {g for g, _ in named} == {1, 2, 3}
+
+
+def test_rating_in_parts_moves_alike(monkeypatch):
+    draw = np.random.default_rng(4)
+    u, v = draw.integers(0, 90, 300), draw.integers(0, 90, 300)
+    h = draw.integers(0, 2**63, 90).astype(np.uint64)
+    whole = graph._moved(u, v, np.ones(300), h, 400)
+    monkeypatch.setattr(graph, "RATED", 20)
+    assert graph._moved(u, v, np.ones(300), h, 400).tolist() == whole.tolist()
+
+
+def test_a_large_group_takes_few_jobs(spark):
+    # A group of more than 500,000 pairs moved in rounds of joins, several jobs each.
+    clique = spark.range(46).select(F.col("id").alias("a"))
+    rows = spark.range(500).crossJoin(clique).crossJoin(clique.toDF("b")).where("a < b")
+    df = rows.select(F.lit(1).alias("repo"), F.format_string("%03d.%02d", "id", "a").alias("s"), F.format_string("%03d.%02d", "id", "b").alias("d"))
+    context = spark.sparkContext
+    context.setJobGroup("large", "counted")
+    found = communities(df, "repo", "s", "d").collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("large"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 40 and {(int(r["node"][:3]), r["community"]) for r in found} == {(i, i) for i in range(500)} and len(found) == 500 * 46
+
+
 def test_two_hops(spark):
     left = spark.createDataFrame([("p", 1), ("q", 1), ("r", 2)], "a string, via int")
     assert {tuple(r) for r in two_hops(left, left.toDF("b", "via"), "a", "via", "b").collect()} == {("p", "q"), ("q", "p")}
